@@ -74,8 +74,8 @@ def sum_arrays(df: DataFrame, n_values: int, dtype: str = "<i8", chunk: int = 65
         totals: dict[int, np.ndarray] = {}
         for b in batches:
             for k, body in zip(b.column("chunk").to_pylist(), b.column("body").to_pylist(), strict=True):
-                x = np.frombuffer(body, "<i4")
-                totals[k] = totals[k] + x if k in totals else x.astype("<i8")
+                x = np.frombuffer(body, "<i8")
+                totals[k] = totals[k] + x if k in totals else x
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(totals), pa.int32()), "body": pa.array([x.tobytes() for x in totals.values()], pa.binary())})
 
     out = np.zeros(n_values, dtype)
@@ -87,6 +87,6 @@ def sum_arrays(df: DataFrame, n_values: int, dtype: str = "<i8", chunk: int = 65
 
 def chunks_of(total: np.ndarray, chunk: int = 65536) -> pa.RecordBatch:
     """The non-zero chunks of one task's integer array, for `sum_arrays`."""
-    flat = total.ravel().astype("<i4")
+    flat = total.ravel().astype("<i8", copy=False)
     keep = [k for k in range(0, len(flat), chunk) if flat[k : k + chunk].any()]
     return pa.RecordBatch.from_pydict({"chunk": pa.array([k // chunk for k in keep], pa.int32()), "body": pa.array([flat[k : k + chunk].tobytes() for k in keep], pa.binary())})
