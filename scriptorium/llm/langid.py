@@ -237,11 +237,13 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, columns: tuple[str,
     fields = [f for f in docs.schema.fields if f.name in columns]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
+    text = "text" if "text" in columns else "__text"
+
     def run(batches):
         langs, p = shared.value
         labeller = Labeller(p, len(langs))
         for b in batches:
-            raw = [x or b"" for x in b.column("__text").cast(pa.binary()).to_pylist()]
+            raw = [x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()]
             pred, score = [], []
             for i in range(0, len(raw), 100):
                 ws = [windows_of(x) for x in raw[i : i + 100]]
@@ -258,7 +260,7 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, columns: tuple[str,
                         score.append(0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
 
-    return docs.select(*(f.name for f in fields), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in fields), *([] if text == "text" else [F.col("text").alias(text)])).mapInArrow(run, schema)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:

@@ -154,13 +154,15 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, col
     fields = [f for f in docs.schema.fields if f.name in columns]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "predicted int"])
 
+    text = "text" if "text" in columns else "__text"
+
     def run(batches):
         vectors, model = shared.value
         for b in batches:
-            s = predict(model, features(texts(b, "__text"), vectors).astype(np.float64))
+            s = predict(model, features(texts(b, text), vectors).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*(f.name for f in fields), "score", "predicted"])
 
-    return docs.select(*(f.name for f in fields), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in fields), *([] if text == "text" else [F.col("text").alias(text)])).mapInArrow(run, schema)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
