@@ -156,11 +156,13 @@ def repair(turns: DataFrame) -> DataFrame:
         return out.assign(conv_id=key[0], chunk=key[1]).astype({"conv_id": "Int64"})
 
     keys = ["conv_id", "chunk"]
-    m = d.select(*keys, "turn", "role", F.lit("").alias("text")).groupBy(*keys).applyInPandas(matrices, "conv_id long, chunk long, m binary")
-    s = m.groupBy("conv_id").applyInPandas(states, "conv_id long, chunk long, first int, last int, ends boolean")
+    # a fixed number: the rows are small for the work they make, and would be dealt to one task
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = d.select(*keys, "turn", "role", F.lit("").alias("text")).repartition(n, *keys).groupBy(*keys).applyInPandas(matrices, "conv_id long, chunk long, m binary")
+    s = m.repartition(n, "conv_id").groupBy("conv_id").applyInPandas(states, "conv_id long, chunk long, first int, last int, ends boolean")
     s = s.withColumnRenamed("conv_id", "c").withColumnRenamed("chunk", "k")
     both = d.join(s, d["conv_id"].eqNullSafe(s["c"]) & (d["chunk"] == s["k"])).drop("c", "k")
-    f = materialise(both.groupBy(*keys).applyInPandas(fragments, "seq long, part long, role string, n int, action string, text string, conv_id long, chunk long"), "fragments")
+    f = materialise(both.repartition(n, *keys).groupBy(*keys).applyInPandas(fragments, "seq long, part long, role string, n int, action string, text string, conv_id long, chunk long"), "fragments")
     made = f.groupBy(*keys).agg(F.max("seq").alias("made"))
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     made = made.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), F.coalesce(F.sum("made").over(before), F.lit(0)).alias("start"))
