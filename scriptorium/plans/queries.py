@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keytables as K
 from ..functions import text as T
-from ..operators import decode, detect, fonts
+from ..operators import decode, detect, fonts, layers, sinks
 
 TEXT_TABLES = [e.table_id for e in K.ENCODINGS if not e.cid]
 FONTS = ["Graeca", "DBGFPI+Graeca", "GraecaII-Bold", "ABCDEF+GraecaII", "abcdef+Graeca", "SymbolGreekIIP", "SymbolGreek", "GrecAccUn", "SPIonic", "Garamond", "A1BCDE+Odyssea", "123456+Bwgrkl", "TimesGreek,Italic"]
@@ -210,6 +210,56 @@ b AS (SELECT doc_id, arg_max(v, {{'a': n, 'b': -first}}) AS p FROM n GROUP BY do
 SELECT DISTINCT e.doc_id, 0 AS page_no, CAST(coalesce(p, 12.0) AS DOUBLE) AS pitch FROM e LEFT JOIN b ON e.doc_id = b.doc_id"""
 
 
+def _pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every benchmark text as pages of glyphs: 30 lines of eight words in 10 points, then two smaller ones below a gap."""
+    d = docs(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("w", "word"))
+    at = F.floor(F.col("w") / 8)
+    d = d.select("doc_id", (F.floor(at / 32)).cast("int").alias("page_no"), (at % 32).cast("int").alias("line_no"), "w", F.concat("word", F.lit(" ")).alias("word"))
+    c = d.groupBy("doc_id", "page_no", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "word"))), lambda x: x["word"]), "").alias("line"))
+    c = c.select("doc_id", "page_no", "line_no", F.posexplode(F.filter(F.split("line", ""), lambda x: x != "")).alias("glyph_no", "text"))
+    size = F.when(F.col("line_no") < 30, 10.0).otherwise(8.0)
+    x0, y0 = 133.0 + F.col("glyph_no") * size / 2, 700.0 - 12 * F.col("line_no") - F.when(F.col("line_no") < 30, 0.0).otherwise(24.0)
+    g = c.select(
+        "doc_id", "page_no", F.col("line_no").alias("box_no"), "line_no", "glyph_no", F.lit("char").alias("kind"), "text", F.when(F.col("doc_id") % 3 == 0, "GFDJFH+Graeca").otherwise("Garamond").alias("font"),
+        size.alias("size"), x0.alias("x0"), (x0 + size / 2).alias("x1"), y0.alias("y0"), (y0 + size).alias("y1"), F.lit(0.0).alias("skew"),
+    )
+    return g, g.select("doc_id", "page_no", F.lit(595.0).alias("width"), F.lit(842.0).alias("height")).distinct()
+
+
+def physical_lines(spark, sf_dir):
+    return layers.physical_lines(*_pages(spark, sf_dir)).select("doc_id", "page_no", "line_no", "text", "size", F.round("y0", 6).alias("y0"))
+
+
+LINES_SQL = """WITH w AS (SELECT item_id AS doc_id, string_split_regex(coalesce(text, ''), '\\s+') AS ws FROM benchmark), e AS (SELECT doc_id, unnest(range(len(ws))) AS w, unnest(ws) AS word FROM w),
+l AS (SELECT doc_id, CAST(w // 256 AS INTEGER) AS page_no, CAST(w // 8 % 32 AS INTEGER) AS line_no, trim(string_agg(word, ' ' ORDER BY w)) AS text FROM e GROUP BY ALL)
+SELECT doc_id, page_no, line_no, text, CAST(CASE WHEN line_no < 30 THEN 10 ELSE 8 END AS DOUBLE) AS size, CAST(700 - 12 * line_no - CASE WHEN line_no < 30 THEN 0 ELSE 24 END AS DOUBLE) AS y0 FROM l WHERE text <> ''"""
+
+
+def page_bands(spark, sf_dir):
+    return layers.classify(*_pages(spark, sf_dir))
+
+
+def page_json(spark, sf_dir):
+    g, p = _pages(spark, sf_dir)
+    return sinks.page_json(layers.classify(g, p), p)
+
+
+def page_markdown(spark, sf_dir):
+    return sinks.page_markdown(page_bands(spark, sf_dir))
+
+
+def layer_text(spark, sf_dir):
+    return sinks.layer_text(page_bands(spark, sf_dir), "greek_text")
+
+
+def page_tokens_json(spark, sf_dir):
+    return sinks.page_tokens_json(sinks.decode_pages(_runs(spark, sf_dir)))
+
+
+def text_json(spark, sf_dir):
+    return sinks.text_json(decode_text_full(spark, sf_dir))
+
+
 def encodings_dim(spark, sf_dir):
     return K.encodings(spark).select("table_id", "font", "cid", "n_letters", "n_codes").orderBy("table_id")
 
@@ -227,12 +277,13 @@ QUERIES = {
     "font_match": font_match, "encodings_dim": encodings_dim, "keymap_profile": keymap_profile, "decode_words_golden": golden, "decode_records": records, "decode_text_full": decode_text_full,
     "detect_scores": detect_scores, "detect_refusal_by_lang": detect_by_lang, "validate_greek": validate_greek, "line_tests": line_tests, "digits_only_lines": digits_only_lines, "runs_from_glyphs": font_runs,
     "font_census": font_census, "page_families": page_families, "page_pitch": page_pitch, "repair_lines": repair_lines,
+    "physical_lines": physical_lines, "page_bands": page_bands, "page_json": page_json, "page_markdown": page_markdown, "layer_text": layer_text, "page_tokens_json": page_tokens_json, "text_json": text_json,
 }
 SQL = {
     "font_match": FONT_SQL, "decode_words_golden": f"WITH {kernel_sql('SELECT * FROM ' + values(WORDS, 'table_id, token'))} SELECT * FROM decoded",
     "encodings_dim": "SELECT table_id, font, cid, CAST(n_letters AS INTEGER) AS n_letters, CAST(n_codes AS INTEGER) AS n_codes FROM " + values([(e.table_id, e.font, e.cid, len(e.letters), len(e.marks) + len(e.literals) + len(e.final_letter)) for e in K.ENCODINGS], "table_id, font, cid, n_letters, n_codes"),
     "keymap_profile": f"SELECT table_id, kind, count(*) AS n, round(avg(CAST(conf AS DOUBLE)), 6) AS conf FROM {values(K.keymap_rows(), KEYMAP_COLS)} GROUP BY ALL",
-    "detect_scores": DETECT_SQL, "detect_refusal_by_lang": BY_LANG_SQL, "validate_greek": GREEK_SQL, "line_tests": LINE_TESTS_SQL, "digits_only_lines": DIGITS_SQL, "runs_from_glyphs": RUNS_SQL, "font_census": CENSUS_SQL, "page_pitch": PITCH_SQL,
+    "detect_scores": DETECT_SQL, "detect_refusal_by_lang": BY_LANG_SQL, "validate_greek": GREEK_SQL, "line_tests": LINE_TESTS_SQL, "digits_only_lines": DIGITS_SQL, "runs_from_glyphs": RUNS_SQL, "font_census": CENSUS_SQL, "page_pitch": PITCH_SQL, "physical_lines": LINES_SQL,
 }
 for _t in TEXT_TABLES:
     QUERIES[f"tokenize_{_t.replace('-', '_')}"], SQL[f"tokenize_{_t.replace('-', '_')}"] = _tokenize(_t)
