@@ -69,6 +69,23 @@ def test_word_probabilities_do_not_exceed_one():
     assert np.exp2(-lm.word_bits([bytes([b]) for b in range(33, 256)] + [b""], model)).sum() <= 1
 
 
+def test_left_out_tables_take_one_decision_away():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 4, (lm.K, lm.SLOTS, 2))
+    less = lm.left_out(counts.reshape(lm.K, -1).astype(np.uint32))
+    slots, bit = rng.integers(0, lm.SLOTS, (lm.K, 300)), rng.integers(0, 2, 300)
+    st, gate = lm.evidence(less, slots, bit)
+    for j in range(300):
+        levels = []
+        for k in range(lm.K):
+            n = counts[k, slots[k, j]].copy()
+            n[bit[j]] = max(n[bit[j]] - 1, 0)
+            back = 0.02 + 0.4 / (n.sum() + 1.5)
+            assert np.isclose(st[k, j], np.log((n[1] + back) / (n[0] + back)) if n.sum() else 0, atol=1e-4)
+            levels.append(int(n.sum() > 0) + int(n.sum() > 2) + int(n.sum() > 30))
+        assert gate[j] == levels[-2] * lm.LEVELS + levels[-1]
+
+
 def test_golay_keys_and_bucket_links():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
