@@ -32,3 +32,15 @@ def test_pipeline_mixing_keeps_every_document_once(spark):
     got = [tuple(r) for r in corpus_pipeline.source_mix(spark, d, "").collect()]
     key = lambda r: tuple(map(str, r))
     assert sorted(got, key=key) == sorted(rows, key=key)
+
+
+def test_mixing_by_own_shares_has_no_cap(spark):
+    d = spark.createDataFrame([(i, "hot" if i % 10 else f"s{i % 3}") for i in range(6000)], "doc_id long, source string")
+    sizes = {r["source"]: r["count"] for r in d.groupBy("source").count().collect()}
+    got = scheduled(mixing.mix(d).collect())
+    assert [r["position"] for r in got] == list(range(6000)) and all(r["slot"] < r["deadline"] for r in got)
+    seen, turns = dict.fromkeys(sizes, 0), list(dict.fromkeys((r["slot"], r["source"]) for r in got))
+    for t, (slot, source) in enumerate(turns):
+        seen[source] += 1
+        assert slot == t and all(abs(seen[s] - -(-n // mixing.BLOCK) * (t + 1) / len(turns)) < 1 for s, n in sizes.items())
+    assert mixing.whole({"a": 10**9, "b": 1}, mixing.BLOCK)[1][-1][3] < 10**9 + 1
