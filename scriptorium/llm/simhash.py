@@ -100,15 +100,16 @@ def fingerprint(texts_: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and signed 64-bit `fp` of every row."""
+def fingerprints(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, signed 64-bit `fp` and `columns` of every row."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(fingerprint(texts(b)).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(fingerprint(texts(b)).view(np.int64)), **{c: b.column(c) for c in columns}})
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    docs = docs.select("doc_id", "text", *columns)
+    return docs.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)]))
 
 
 def _keyed(batches):
@@ -194,16 +195,18 @@ def _linked(batches):
         yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(c.view(np.int64))})
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row of `docs`."""
-    fps = materialise(fingerprints(docs), "fingerprints")
+def groups(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id, component and `columns` of every row of `docs`.
+
+    `component` is the smallest fingerprint of the group, and tells groups without an id apart."""
+    fps = materialise(fingerprints(docs, columns), "fingerprints")
     once = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = once.select("fp").mapInArrow(_keyed, "key long, fp long").repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(_linked, "a long, b long")
     c = components(links)
     # only fingerprints with a near neighbour have a component of their own to look up
     part = c.join(once, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first").alias("component_id"))
-    named = once.join(c, F.col("fp") == F.col("node"), "left").join(part, "component", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = once.join(c, F.col("fp") == F.col("node"), "left").join(part, "component", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component", *columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -44,3 +46,13 @@ def test_mixing_by_own_shares_has_no_cap(spark):
         seen[source] += 1
         assert slot == t and all(abs(seen[s] - -(-n // mixing.BLOCK) * (t + 1) / len(turns)) < 1 for s, n in sizes.items())
     assert mixing.whole({"a": 10**9, "b": 1}, mixing.BLOCK)[1][-1][3] < 10**9 + 1
+
+
+def test_near_duplicates_keeps_one_row_of_each_group(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
+    null, same, pair = [text() for _ in range(20)], [text(), text()], text()
+    rows = [(None, t) for t in null] + [(None, null[0])] * 3 + [(1, t) for t in same] + [(3, pair), (2, pair), (None, pair), (2, pair), (None, ""), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, d, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, t) for t in null] + [(1, t) for t in same] + [(2, pair), (None, "")], key=str)
