@@ -1,11 +1,13 @@
 """Token counts under a unigram vocabulary, without building the tokens.
 
 Spaces become the mark U+2581, one stands before the text, and the text splits before every
-mark; each part is segmented alone. An Aho-Corasick automaton lists, for every end position,
+run of marks, which no piece crosses; each part is segmented alone. An Aho-Corasick automaton lists, for every end position,
 the pieces that end there, longest first. Dynamic programming keeps the best score of each
 prefix and, along its best path, the number of pieces. Ties go to the longer last piece. A
 character that is no piece by itself may also be unknown, at the least score less 10, and
-neighbouring unknown characters count as one piece.
+counts as the byte pieces of its UTF-8 form. A Counter without byte pieces, as for
+vocabularies that have none, takes neighbouring unknown characters as one piece and splits
+before every mark.
 
 A part's count depends on its characters alone, so a worker remembers parts up to a bound.
 
@@ -14,6 +16,8 @@ null doc_id keeps its null; an empty table gives no rows; extra columns are not
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,6 +26,7 @@ from .common import small_batches, table
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 REMEMBERED = 1 << 18
+_RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -33,10 +38,22 @@ def load_pieces(path: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in use]
 
 
+def has_byte_pieces(path: str) -> bool:
+    """Whether a piece-model file has a piece for every byte."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(m.is_byte(i) for i in range(m.get_piece_size())) == 256
+
+
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], byte_pieces: bool = False):
         import ahocorasick
 
+        # a piece that goes on after a mark within it would be lost to the split
+        if byte_pieces and any(MARK in p.lstrip(MARK) for p, _ in pieces):
+            raise ValueError("a piece has a mark after another character")
+        self.byte_pieces = byte_pieces
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
@@ -52,7 +69,7 @@ class Counter:
         n = len(w)
         best: list = [0.0] + [None] * n
         count, odd, single = [0] * (n + 1), [False] * (n + 1), [False] * (n + 1)
-        unknown, done = self.unknown, 0
+        unknown, done, by_bytes = self.unknown, 0, self.byte_pieces
 
         def settle(to: int) -> None:
             nonlocal done
@@ -62,7 +79,7 @@ class Counter:
                     c = best[done - 1] + unknown
                     if best[done] is None or c > best[done]:
                         best[done], odd[done] = c, True
-                        count[done] = count[done - 1] + (not odd[done - 1])
+                        count[done] = count[done - 1] + (len(w[done - 1].encode()) if by_bytes else not odd[done - 1])
 
         for last, (size, score) in () if self.empty else self.automaton.iter(w):
             e = last + 1
@@ -78,7 +95,7 @@ class Counter:
         return count[n], best[n]
 
     def _find(self, w: str) -> tuple[int, float]:
-        got = self.old.get(w) or self.part(MARK + w)
+        got = self.old.get(w) or self.part(w if self.byte_pieces else MARK + w)
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
         self.new[w] = got
@@ -89,7 +106,8 @@ class Counter:
             return 0, 0.0
         t = t.replace(" ", MARK)
         n, score, new = 0, 0.0, self.new
-        for w in (t[1:] if t[0] == MARK else t).split(MARK):
+        t = t[1:] if t[0] == MARK else t
+        for w in _RUN.findall(MARK + t) if self.byte_pieces else t.split(MARK):
             got = new.get(w)
             if got is None:
                 got = self._find(w)
@@ -99,13 +117,13 @@ class Counter:
         return n, score
 
 
-def count(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
+def count(docs: DataFrame, pieces: list[tuple[str, float]], byte_pieces: bool = False) -> DataFrame:
     """doc_id, n_pieces and the best segmentation's score of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # of the vocabulary's size
 
     def run(batches):
-        counter = Counter(shared.value)
+        counter = Counter(shared.value, byte_pieces)
         for b in batches:
             got = [counter.text(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_pieces": pa.array([x[0] for x in got], pa.int64()), "score": pa.array([x[1] for x in got], pa.float64())})
@@ -116,4 +134,5 @@ def count(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
 def op7_tokencount(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    return count(table(spark, sf_dir, "documents"), load_pieces(vocabulary or public_tokenizers.path("piece_bpe_32k.model")))
+    path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
+    return count(table(spark, sf_dir, "documents"), load_pieces(path), has_byte_pieces(path))

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import mixing
+from scriptorium.llm import mixing, tokencount
 
 
 def scheduled(rows):
@@ -56,3 +57,18 @@ def test_near_duplicates_keeps_one_row_of_each_group(spark):
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
     got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, d, "").collect()]
     assert sorted(got, key=str) == sorted([(None, t) for t in null] + [(1, t) for t in same] + [(2, pair), (None, "")], key=str)
+
+
+def test_token_counts_have_byte_pieces_and_runs_of_marks():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    pieces = tokencount.load_pieces(path)
+    assert tokencount.has_byte_pieces(path)
+    counter, rng = tokencount.Counter(pieces, byte_pieces=True), random.Random(8)
+    t = Tokenizer(models.Unigram([("\x00", 0.0), *pieces, *((f"<0x{b:02X}>", 0.0) for b in range(256))], unk_id=0, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    assert counter.text("\u9b31" * 4)[0] == 13 and counter.text("x\n\n\n\ny")[0] == 6 and counter.text("a" + " " * 8 + "b")[0] == 3
+    for _ in range(500):
+        s = "".join(rng.choice(["a", "the", " ", "   ", "\n", "\u9b31", "☃", "é", "▁"]) for _ in range(rng.randint(0, 25)))
+        assert counter.text(s)[0] == len(t.encode(s, add_special_tokens=False).ids), s
