@@ -123,8 +123,7 @@ def detect_scores(spark, sf_dir):
 
 
 def detect_by_lang(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return detect.best(d).join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", "table_id", "refused").agg(F.count("*").alias("n"))
+    return detect.best(docs(spark, sf_dir), keep=["lang"]).groupBy("lang", "table_id", "refused").agg(F.count("*").alias("n"))
 
 
 def _score_sql() -> str:
