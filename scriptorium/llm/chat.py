@@ -2,35 +2,50 @@
 
 A legal conversation is an optional system turn, then user and assistant in turn, ending with
 an assistant. Each turn is kept, relabelled or merged into the turn before it, and empty turns
-may be inserted, at the least total cost. The automaton has four states, so a run of turns is
-a 4 x 4 matrix of costs in the (min, +) algebra: long conversations fall into chunks of turn
-numbers, the chunks' matrices are chained for each conversation, and every chunk then finds
-its own cheapest path between the states that the chain chose. No task holds a conversation.
+may be inserted, at the least total cost.
+
+All turns are sorted into ranges by conversation and turn, so that one exchange serves and a
+hot conversation spreads over many tasks. A conversation that lies within a range, as nearly
+all do, is repaired there. The first and last ones of a range, and long ones, fall into
+segments of a bounded number of rows. The automaton has four states, so a segment is a 4 x 4
+matrix of costs in the (min, +) algebra: the matrices are chained for each conversation, and
+every segment then finds its own cheapest path between the states that the chain chose.
 
 Ties: at each turn the path prefers, from the end backwards, the smaller state before it, and
 then the smaller of (insertions, merge after emit).
 
 Defined cases: roles compare trimmed and in lower case, and any other or null role must be
 relabelled or merged; a null text is empty; a null turn number comes first; turns with one
-number go by role and text; rows without a conv_id form one conversation; a conversation
-without rows does not exist; extra columns are not read."""
+number go by role, the first characters of the text and its hash, so that repeated rows are
+turns each; rows without a conv_id form one conversation; a conversation without rows does not
+exist, and an empty table gives no rows; a text that holds a marker such as <|end|> is rendered
+as it is, since tokenizers encode markers apart from text; texts are held whole, and a repaired
+turn has the whole text of all turns merged into it; extra columns are not read, whatever their
+names."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, table
+from .common import materialise, parts, table
 
 ROLES = ("", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, INSERT = 1, 3, 2
 FAR = 1 << 40
-#: Turn numbers that one task handles together.
-CHUNK = 512
+#: Rows of a segment of a long conversation, and characters after which one ends.
+SEGMENT, SEGMENT_CHARS = 2048, 1 << 22
+#: Turns in a range, at most about.
+RANGE = 100_000
 
 
 def _inserted() -> dict[tuple[int, int], tuple[int, ...]]:
@@ -74,20 +89,20 @@ def finish(state: int) -> tuple[int, tuple[int, ...]]:
     return INSERT * len(chain), chain
 
 
-def matrix(roles: list[int]) -> np.ndarray:
-    out = np.full((4, 4), FAR, np.int64)
-    np.fill_diagonal(out, 0)
-    step = {r: np.full((4, 4), FAR, np.int64) for r in range(4)}
-    for r, moves in MOVES.items():
-        for a, b, cost, _, _ in moves:
-            step[r][a, b] = cost
+def forward(roles: list[int], first: int) -> tuple[list[int], list[int]]:
+    """(least cost, turns made on that path) to each state after `roles`."""
+    cost, made = [0 if q == first else FAR for q in range(4)], [0] * 4
     for r in roles:
-        out = np.minimum((out[:, :, None] + step[r][None]).min(1), FAR)
-    return out
+        row, out = [FAR] * 4, [0] * 4
+        for a, b, c, ins, act in MOVES[r]:
+            if cost[a] + c < row[b]:
+                row[b], out[b] = cost[a] + c, made[a] + len(ins) + ("merge" not in act)
+        cost, made = row, out
+    return cost, made
 
 
 def chain(matrices: list[np.ndarray]) -> list[int]:
-    """States before, between and after the chunks of a conversation, START first."""
+    """States before, between and after the segments of a conversation, START first."""
     best = [np.array([0, FAR, FAR, FAR])]
     for m in matrices:
         best.append(np.minimum((best[-1][:, None] + m).min(0), FAR))
@@ -99,7 +114,7 @@ def chain(matrices: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
-def path(roles: list[int], first: int, last: int) -> list[tuple[int, tuple[int, ...], str]]:
+def path(roles: list[int] | tuple[int, ...], first: int, last: int) -> list[tuple[int, tuple[int, ...], str]]:
     """(state after, insertions before, action) of every turn, from `first` to `last`."""
     best = [[0 if q == first else FAR for q in range(4)]]
     for r in roles:
@@ -116,61 +131,182 @@ def path(roles: list[int], first: int, last: int) -> list[tuple[int, tuple[int,
     return out[::-1]
 
 
-def _codes(roles: pd.Series) -> list[int]:
-    return [ROLES.index(r) if r in ROLES else 0 for r in roles]
+@lru_cache(maxsize=1 << 14)
+def _whole_path(roles: tuple[int, ...]) -> tuple[tuple, int]:
+    """The path of a whole conversation and its last state."""
+    cost, _ = forward(list(roles), START)
+    last = min(range(1, 4), key=lambda q: (cost[q] + finish(q)[0], q))
+    return tuple(path(roles, START, last)), last
+
+
+def turns_of(steps, texts: list[str], last: int, ends: bool) -> list[tuple[int, str, int, list[str], list[str]]]:
+    """(number, role, turns, actions, texts) of the repaired turns; number 0 goes on with the turn before."""
+    out: list[tuple[int, str, int, list[str], list[str]]] = []
+    n = 0
+    for (state, ins, act), text in zip(steps, texts, strict=True):
+        for x in ins:
+            n += 1
+            out.append((n, ROLES[x], 0, ["insert"], []))
+        if "merge" not in act:
+            n += 1
+        elif out:
+            number, role, turns, acts, held = out[-1]
+            out[-1] = (number, role, turns + 1, acts, held)
+            acts.append(act)
+            held.append(text)
+            continue
+        out.append((n, ROLES[state], 1, [act], [text]))
+    for x in finish(last)[1] if ends else ():
+        n += 1
+        out.append((n, ROLES[x], 0, ["insert"], []))
+    return out
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
+_ROLE = {r: i for i, r in enumerate(ROLES)}
+_MADE = ("kind", "conv", "p", "seg", "i", "position", "role", "n_turns", "actions", "text", "m")
+DONE, RAW, MATRIX = range(3)
+
+
+class _Rows:
+    """Rows of one schema, given out as batches of a bounded size."""
+
+    def __init__(self, names: tuple[str, ...], types: list[pa.DataType]):
+        self.names, self.types, self.rows, self.held = names, types, [], 0
+
+    def add(self, row: tuple, chars: int = 0) -> None:
+        self.rows.append(row)
+        self.held += 100 + chars
+
+    def full(self) -> bool:
+        return self.held > 1 << 23
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(self.names)
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.types, strict=True)], names=list(self.names))
+        self.rows, self.held = [], 0
+        return out
+
+
+def _first_pass(conv: pa.DataType):
+    types = [pa.int32(), conv, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole conversations repaired; of the others the turns, with their segment, and its matrices."""
+        out, seg, first = _Rows(_MADE, types), 0, True
+        key, part, roles, texts, chars, whole = None, 0, [], [], 0, False
+
+        def segment() -> None:
+            nonlocal seg, roles, texts, chars
+            for i, (r, t) in enumerate(zip(roles, texts, strict=True)):
+                out.add((RAW, key, part, seg, i, None, ROLES[r], None, None, t, None), len(t))
+            cost, made = zip(*(forward(roles, q) for q in range(4)), strict=True)
+            out.add((MATRIX, key, part, seg, None, None, None, None, None, None, np.array([cost, made], np.int64).tobytes()))
+            seg, roles, texts, chars = seg + 1, [], [], 0
+
+        def close(last: bool) -> None:
+            nonlocal roles, texts, chars
+            if not whole or last:  # it may go on beyond this range
+                if roles:
+                    segment()
+                return
+            steps, state = _whole_path(tuple(roles)) if len(roles) <= 64 else (path(roles, START, (s := _end(roles))), s)
+            for n, role, turns, acts, held in turns_of(steps, texts, state, True):
+                text = "\n".join(held)
+                out.add((DONE, key, part, None, None, n - 1, role, turns, ",".join(acts), text, None), len(text))
+            roles, texts, chars = [], [], 0
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("conv", "p", "role", "text")]
+            for k, p, role, text in zip(*columns, strict=True):
+                if first or k != key:
+                    if not first:
+                        close(False)
+                    whole = not first
+                    key, part, first = k, p, False
+                roles.append(_ROLE.get(role, 0))
+                texts.append(text)
+                chars += len(text)
+                if len(roles) >= SEGMENT or chars > SEGMENT_CHARS:
+                    segment()
+                    whole = False
+                if out.full():
+                    yield out.batch()
+        if not first:
+            close(True)
+        yield out.batch()
+
+    return run
+
+
+def _end(roles: list[int]) -> int:
+    cost, _ = forward(roles, START)
+    return min(range(1, 4), key=lambda q: (cost[q] + finish(q)[0], q))
+
+
+def _states(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a conversation's segments: the states before and after each and the turns made before it."""
+    pdf = pdf.sort_values(["p", "seg"])
+    both = [np.frombuffer(m, np.int64).reshape(2, 4, 4) for m in pdf["m"]]
+    s = chain([b[0] for b in both])
+    made = [int(b[1][x, y]) for b, x, y in zip(both, s, s[1:], strict=False)]
+    return pd.DataFrame({"p": pdf["p"], "seg": pdf["seg"], "first": s[:-1], "last": s[1:], "start": np.cumsum([0, *made[:-1]]), "ends": [False] * (len(pdf) - 1) + [True]})
+
+
+def _second_pass(conv: pa.DataType):
+    names = ("conv", "position", "p", "seg", "role", "n_turns", "actions", "text")
+    types = [conv, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repaired turns of segments, or what a segment adds to one."""
+        out = _Rows(names, types)
+        at, roles, texts = None, [], []
+
+        def close() -> None:
+            k, p, seg, first, last, start, ends = at
+            for n, role, turns, acts, held in turns_of(path(roles, first, last), texts, last, ends):
+                text = "\n".join(held) if held else None
+                out.add((k, start + n - 1, p, seg, role, turns, ",".join(acts), text), len(text or ""))
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("conv", "p", "seg", "first", "last", "start", "ends", "role", "text")]
+            for *segment, role, text in zip(*columns, strict=True):
+                if at is not None and segment[1:3] != at[1:3]:
+                    close()
+                    roles, texts = [], []
+                at = segment
+                roles.append(_ROLE.get(role, 0))
+                texts.append(text)
+                if out.full():
+                    yield out.batch()
+        if at is not None:
+            close()
+        yield out.batch()
+
+    return run
 
 
 def repair(turns: DataFrame) -> DataFrame:
     """conv_id, position, role, n_turns, actions, text, rendered of every repaired turn."""
-    d = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.lower(F.trim("role")), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))))
-
-    def matrices(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"conv_id": [key[0]], "chunk": [key[1]], "m": [matrix(_codes(_ordered(pdf)["role"])).tobytes()]}).astype({"conv_id": "Int64"})
-
-    def states(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        s = chain([np.frombuffer(m, np.int64).reshape(4, 4) for m in pdf["m"]])
-        return pd.DataFrame({"conv_id": key[0], "chunk": pdf["chunk"].to_numpy(), "first": s[:-1], "last": s[1:], "ends": [False] * (len(pdf) - 1) + [True]}).astype({"conv_id": "Int64"})
-
-    def fragments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        ends = bool(pdf["ends"].iloc[0])
-        first, last = int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])
-        rows, seq = [], 0  # turn 0 of a chunk continues the last turn of the one before
-        for part, ((state, ins, act), text) in enumerate(zip(path(_codes(pdf["role"]), first, last), pdf["text"], strict=True)):
-            for x in ins:
-                seq += 1
-                rows.append((seq, part, ROLES[x], 0, "insert", ""))
-            if "merge" not in act:
-                seq += 1
-            rows.append((seq, part, ROLES[state], 1, act, text))
-        for x in finish(last)[1] if ends else ():
-            seq += 1
-            rows.append((seq, len(pdf), ROLES[x], 0, "insert", ""))
-        out = pd.DataFrame(rows, columns=["seq", "part", "role", "n", "action", "text"])
-        return out.assign(conv_id=key[0], chunk=key[1]).astype({"conv_id": "Int64"})
-
-    keys = ["conv_id", "chunk"]
-    # a fixed number: the rows are small for the work they make, and would be dealt to one task
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = d.select(*keys, "turn", "role", F.lit("").alias("text")).repartition(n, *keys).groupBy(*keys).applyInPandas(matrices, "conv_id long, chunk long, m binary")
-    s = m.repartition(n, "conv_id").groupBy("conv_id").applyInPandas(states, "conv_id long, chunk long, first int, last int, ends boolean")
-    s = s.withColumnRenamed("conv_id", "c").withColumnRenamed("chunk", "k")
-    both = d.join(s, d["conv_id"].eqNullSafe(s["c"]) & (d["chunk"] == s["k"])).drop("c", "k")
-    f = materialise(both.repartition(n, *keys).groupBy(*keys).applyInPandas(fragments, "seq long, part long, role string, n int, action string, text string, conv_id long, chunk long"), "fragments")
-    made = f.groupBy(*keys).agg(F.max("seq").alias("made"))
-    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    made = made.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), F.coalesce(F.sum("made").over(before), F.lit(0)).alias("start"))
-    f = f.join(made, f["conv_id"].eqNullSafe(made["c"]) & (f["chunk"] == made["k"])).withColumn("position", F.col("start") + F.col("seq") - 1)
-    bits = F.array_sort(F.collect_list(F.struct("chunk", "part", "action", "text")))
-    out = f.groupBy("conv_id", "position").agg(F.min("role").alias("role"), F.sum("n").alias("n_turns"), bits.alias("bits"))
-    text = F.array_join(F.transform(F.filter("bits", lambda b: b["action"] != "insert"), lambda b: b["text"]), "\n")
-    out = out.select("conv_id", F.col("position").cast("long").alias("position"), "role", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("bits", lambda b: b["action"]), ",").alias("actions"), text.alias("text"))
+    spark = turns.sparkSession
+    d = turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.lower(F.trim("role")), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # the number of a row tells only repeated rows apart, which are alike
+    order = ["conv", "turn", "role", F.substring("text", 1, 64), F.xxhash64("text"), F.monotonically_increasing_id()]
+    keyed = d.select(*d.columns, *(c.alias(f"o{i}") for i, c in enumerate(order[3:])))
+    order = ["conv", "turn", "role", "o0", "o1", "o2"]
+    # a count of its own: the rows are small for the work they make, and would be dealt to few tasks
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts(turns.count(), RANGE))
+    dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv", F.spark_partition_id().alias("p"), "role", "text")
+    conv = turns.schema["conv_id"].dataType
+    arrow = to_arrow_type(conv)
+    name = conv.simpleString()
+    made = materialise(dealt.mapInArrow(_first_pass(arrow), f"kind int, conv {name}, p int, seg int, i long, position long, role string, n_turns long, actions string, text string, m binary"), "turns")
+    states = made.where(F.col("kind") == MATRIX).select("conv", "p", "seg", "m").groupBy("conv").applyInPandas(_states, "p int, seg int, first int, last int, start long, ends boolean")
+    raw = made.where(F.col("kind") == RAW).select("conv", "p", "seg", "i", "role", "text").join(states, ["p", "seg"])
+    bits = raw.repartition(n, "p", "seg").sortWithinPartitions("p", "seg", "i").mapInArrow(_second_pass(arrow), f"conv {name}, position long, p int, seg int, role string, n_turns long, actions string, text string")
+    bit = F.array_sort(F.collect_list(F.struct("p", "seg", "actions", "text")))
+    joined = bits.groupBy("conv", "position").agg(F.min("role").alias("role"), F.sum("n_turns").alias("n_turns"), bit.alias("b"))
+    joined = joined.select("conv", "position", "role", "n_turns", F.array_join(F.transform("b", lambda x: x["actions"]), ",").alias("actions"), F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"))
+    out = made.where(F.col("kind") == DONE).select(*joined.columns).union(joined).withColumnRenamed("conv", "conv_id")
     return out.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n")))
 
 
