@@ -1,25 +1,28 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
-Vectors of one label fall into shards of a bounded size; each shard gets a graph of several
-layers, built in numpy by inserting growing batches. Every vector queries every shard of its
-label: greedy descent, then a beam on the lowest layer, then the neighbours of what it found
-as long as that finds more. Candidates are verified by cosine in double precision. A recall
-audit searches some queries exhaustively; beams double until the audits pass, and a shard
-where the widest beam does not pass, or a query whose beam is full of links, is searched
-exhaustively. Links are counted where they are found, and only a spanning set of them leaves
-a task; components come from table operations.
+Equal vectors of a label are one node with a count. Nodes of one label fall into shards of a
+bounded size; each shard gets a graph of several layers, built in numpy by inserting growing
+batches. Every vector queries every shard of its label, its own from its own place too: greedy
+descent, then a beam on the lowest layer, then the neighbours of what it found as long as that
+finds more. Two shards meet in one task, which queries either's graph with the other's vectors.
+Candidates are verified by cosine in double precision. A recall audit searches some queries
+exhaustively, for their links and for nearest neighbours somewhat below the threshold; beams double until the audit passes,
+and a shard where the widest beam does not pass, or a query whose beam is full of links, is
+searched exhaustively. Links are counted where they are found, and only a spanning set of them
+leaves a task; components come from table operations.
 
 Defined cases: a vector that is null, zero or holds null or non-finite components, or has no
 label, is a component of its own without links, and so is any vector alone in its label;
-vectors of different lengths do not link; repeated vec_ids count as one row each and share a
-component; extra columns are not read; an empty table gives no rows."""
+vectors of different lengths do not link; components however small or large count by their
+direction; rows with one vec_id, or none, are rows of their own, which link like any others, and
+a component's id is its smallest vec_id that is not null; long vectors are held whole; extra
+columns are not read, whatever their names; an empty table gives no rows."""
 
 from __future__ import annotations
 
 import io
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,11 @@ from .textvec import scramble
 
 #: Vectors in a shard, at most about.
 SHARD = 8192
-LINKS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM = 12, 32, 32, 256
-AUDIT = 64
+LINKS, BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM = 12, 16, 16, 128
+#: Queries that an audit searches exhaustively, as many again among those that found something
+#: near, the share of their nearest neighbours to be found, and how much farther than a link
+#: those may be.
+AUDIT, RECALL, MARGIN = 64, 0.9, 4
 THRESHOLD = 0.93
 
 
@@ -40,6 +46,22 @@ class Layer:
     def __init__(self, ids: np.ndarray):
         self.ids = ids
         self.near = np.full((len(ids), 2 * LINKS), -1, np.int32)
+        self.sim = np.full((len(ids), 2 * LINKS), -np.inf, np.float32)
+
+    def link(self, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> None:
+        """Offer edges a-b of similarity s: every row keeps its nearest distinct ones."""
+        rows = np.unique(a)
+        at, k = np.nonzero(self.near[rows] >= 0)
+        a, b, s = np.append(a, rows[at]), np.append(b, self.near[rows[at], k]), np.append(s, self.sim[rows[at], k])
+        _, first = np.unique(a * len(self.ids) + b, return_index=True)
+        first = first[a[first] != b[first]]
+        a, b, s = a[first], b[first], s[first]
+        order = np.lexsort((-s, a))
+        a, b, s = a[order], b[order], s[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = rank < self.near.shape[1]
+        self.near[rows], self.sim[rows] = -1, -np.inf
+        self.near[a[keep], rank[keep]], self.sim[a[keep], rank[keep]] = b[keep], s[keep]
 
 
 def beam(x: np.ndarray, layer: Layer, q: np.ndarray, entry: np.ndarray, width: int, filled: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -96,18 +118,6 @@ def beam(x: np.ndarray, layer: Layer, q: np.ndarray, entry: np.ndarray, width: i
     return np.where(np.isfinite(sim), np.take_along_axis(pos, order, 1), -1), sim
 
 
-def _prune(x: np.ndarray, layer: Layer, at: np.ndarray) -> None:
-    """Keep the nearest distinct 2 * LINKS neighbours of rows `at` among those queued for them."""
-    for a, near in at:
-        near = np.unique(near)
-        near = near[near != a]
-        if len(near) > layer.near.shape[1]:
-            s = x[layer.ids[near]] @ x[layer.ids[a]]
-            near = near[np.argpartition(-s, layer.near.shape[1] - 1)[: layer.near.shape[1]]]
-        layer.near[a] = -1
-        layer.near[a, : len(near)] = near
-
-
 def build(x: np.ndarray) -> list[Layer]:
     """Layers from the lowest up; a row rises one layer with chance 1 / LINKS, by a hash of its place."""
     n = len(x)
@@ -123,32 +133,26 @@ def build(x: np.ndarray) -> list[Layer]:
         at = 0
         m = len(layer.ids)
         while at < m:
-            size = min(max(32, at // 2), 512, m - at)
+            size = min(max(32, at // 2), 1024, m - at)
             new = np.arange(at, at + size)
             q = x[layer.ids[new]]
             s = q @ q.T
             np.fill_diagonal(s, -np.inf)
             k = min(LINKS, size - 1)
-            own = np.argpartition(-s, max(k - 1, 0), axis=1)[:, :k] + at if k else np.zeros((size, 0), int)
-            queued: dict[int, list[np.ndarray]] = {int(a): [own[i]] for i, a in enumerate(new)}
+            own = np.argpartition(-s, max(k - 1, 0), axis=1)[:, :k] if k else np.zeros((size, 0), int)
+            a, b, sim = np.repeat(new, k), own.ravel() + at, np.take_along_axis(s, own, 1).ravel()
             if at:
                 start = np.tile(scramble(np.arange(4, dtype=np.uint64)).astype(np.uint64) % np.uint64(at), (size, 1)).astype(np.int64)
-                old, _ = beam(x, layer, q, start, BUILD_BEAM, at)
-                for i, a in enumerate(new):
-                    queued[int(a)].append(old[i, :LINKS][old[i, :LINKS] >= 0])
-            back: dict[int, list[int]] = {}
-            for a, lists in queued.items():
-                for b in np.concatenate(lists).tolist():
-                    back.setdefault(b, []).append(a)
-            for b, more in back.items():
-                queued.setdefault(b, [layer.near[b][layer.near[b] >= 0]]).append(np.array(more))
-            _prune(x, layer, [(a, np.concatenate(lists).astype(np.int64)) for a, lists in queued.items()])
+                old, near = beam(x, layer, q, start, BUILD_BEAM, at)
+                r, c = np.nonzero(old[:, :LINKS] >= 0)
+                a, b, sim = np.append(a, new[r]), np.append(b, old[r, c]), np.append(sim, near[r, c])
+            layer.link(np.append(a, b), np.append(b, a), np.append(sim, sim).astype(np.float32))
             at += size
     return layers
 
 
-def search(x: np.ndarray, layers: list[Layer], q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the shard nearest to each query, found from the top layer down."""
+def search(x: np.ndarray, layers: list[Layer], q: np.ndarray, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the shard nearest to each query, found from the top layer down; `own` are the queries' own rows, if they are in the shard."""
     top = layers[-1]
     entry = np.zeros((len(q), 1), np.int64)
     for h in range(len(layers) - 1, -1, -1):
@@ -156,7 +160,7 @@ def search(x: np.ndarray, layers: list[Layer], q: np.ndarray, width: int) -> tup
         if h == 0:
             # the lowest layer also starts at a few fixed rows, which helps where it is not connected
             fixed = scramble(np.arange(3, dtype=np.uint64)) % np.uint64(len(layer.ids))
-            entry = np.concatenate([entry, np.tile(fixed.astype(np.int64), (len(q), 1))], 1)
+            entry = np.concatenate([entry, np.tile(fixed.astype(np.int64), (len(q), 1)), *([] if own is None else [own[:, None]])], 1)
             s = np.sort(entry, 1)
             entry = np.where(np.concatenate([np.zeros((len(q), 1), bool), s[:, 1:] == s[:, :-1]], 1), -1, s)
             entry = np.take_along_axis(entry, np.argsort(-entry, axis=1, kind="stable"), 1)
@@ -183,48 +187,66 @@ def exhaustive(unit: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.nd
     return (np.concatenate(out_q), np.concatenate(out_r)) if out_q else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links(unit: np.ndarray, layers: list[Layer], q: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs at or over the threshold, through the graph; see the module for audits."""
+def links(unit: np.ndarray, layers: list[Layer], q: np.ndarray, threshold: float = THRESHOLD, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs at or over the threshold, through the graph; see the module for audits.
+
+    With `same` the queries are the shard's own rows, which do not link with themselves."""
     x, q32 = unit.astype(np.float32), q.astype(np.float32)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    want_q, want_r = exhaustive(unit, q[audit], threshold)
-    want = set(zip(audit[want_q].tolist(), want_r.tolist(), strict=True))
     n, found, width = len(unit), np.zeros(0, np.int64), FIRST_BEAM
     base = layers[0]
-    todo, wide = np.arange(len(q)), []
-    while True:
+    margin = 1 - MARGIN * (1 - threshold)
+    closest = np.full(len(q), -np.inf)
+    audit = want = whole = None
+    todo, full = np.arange(len(q)), np.zeros(0, np.int64)
+    while len(todo):
         for i in range(0, len(todo), 512):
             rows = todo[i : i + 512]
-            pos, _ = search(x, layers, q32[rows], width)
-            r, c = np.nonzero(pos >= 0)
+            pos, sim = search(x, layers, q32[rows], width, rows if same else None)
+            ok = pos >= 0
+            if same:
+                ok &= base.ids[pos] != rows[:, None]
+            closest[rows] = np.where(ok, sim, -np.inf).max(1)
+            r, c = np.nonzero(ok)
             cand = rows[r] * n + base.ids[pos[r, c]]
-            cand = np.setdiff1d(cand, found)
-            good = cand[_cosines(q[cand // n], unit[cand % n]) >= threshold]
-            full = np.bincount(np.searchsorted(rows, good // n), minlength=len(rows)) >= min(width, n)
-            wide.append(rows[full])
-            good = good[~full[np.searchsorted(rows, good // n)]]
+            good = np.unique(cand[_cosines(q[cand // n], unit[cand % n]) >= threshold])
+            # a beam full of links may have left some out
+            many = np.bincount(np.searchsorted(rows, good // n), minlength=len(rows)) >= min(width, n) - same
+            full = np.append(full, rows[many])
+            good = good[~many[np.searchsorted(rows, good // n)]]
             new = good
             while len(new):  # neighbours of what was found, as long as they link too
                 near = base.near[new % n]
                 a, b = np.nonzero(near >= 0)
                 cand = np.setdiff1d(np.unique(new[a] // n * n + near[a, b]), good)
+                if same:
+                    cand = cand[cand // n != cand % n]
                 new = cand[_cosines(q[cand // n], unit[cand % n]) >= threshold]
                 good = np.union1d(good, new)
             found = np.union1d(found, good)
-        have = found[np.isin(found // n, audit)]
-        full = np.concatenate(wide) if wide else np.zeros(0, int)
-        missed = {p for p in want if p[0] not in set(full.tolist())} - set(zip((have // n).tolist(), (have % n).tolist(), strict=True))
-        if not missed:
+        todo = np.setdiff1d(todo, full)
+        if audit is None:
+            spread = lambda ids: ids[np.unique(np.linspace(0, len(ids) - 1, min(AUDIT, len(ids))).astype(int))]
+            audit = np.union1d(spread(np.arange(len(q))), spread(np.flatnonzero(closest >= margin)))
+            whole = q[audit] @ unit.T
+            if same:
+                whole[np.arange(len(audit)), audit] = -np.inf
+            r, c = np.nonzero(whole >= threshold - 1e-9)
+            want = audit[r] * n + c
+            want = want[_cosines(q[want // n], unit[want % n]) >= threshold]
+            whole = whole.max(1)
+        missed = np.setdiff1d(want[np.isin(want // n, todo)], found)
+        near = np.isin(audit, todo) & (whole >= margin)
+        if not len(missed) and (closest[audit] >= whole - 1e-5)[near].sum() >= RECALL * near.sum():
             break
         if width >= WIDEST_BEAM:
-            full = np.arange(len(q))
+            full = np.append(full, todo)
             break
         width *= 2
-        todo = np.setdiff1d(np.arange(len(q)), full)
     if len(full):
         full = np.unique(full)
         a, b = exhaustive(unit, q[full], threshold)
-        found = np.union1d(found[~np.isin(found // n, full)], full[a] * n + b)
+        more = full[a] * n + b
+        found = np.union1d(found[~np.isin(found // n, full)], more[more // n != more % n] if same else more)
     return found // n, found % n
 
 
@@ -250,76 +272,83 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[parent[moved]]
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that neither tiny nor huge components are lost."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _build_shard(pdf):
     import pandas as pd
 
-    x = np.array(pdf["x"].tolist(), np.float64)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = _unit(np.array(pdf["x"].tolist(), np.float64))
     layers = build(unit.astype(np.float32))
     shapes = np.array([len(y.ids) for y in layers])
-    body = _pack(id=pdf["vec_id"].to_numpy(np.int64), unit=unit, shapes=shapes, ids=np.concatenate([y.ids for y in layers]), near=np.concatenate([y.near for y in layers]))
+    body = _pack(id=pdf["rep"].to_numpy(np.int64), n=pdf["n"].to_numpy(np.int64), unit=unit, shapes=shapes, ids=np.concatenate([y.ids for y in layers]).astype(np.int32), near=np.concatenate([y.near for y in layers]))
     return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "body": [body]})
 
 
-def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, list[Layer]]:
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Layer]]:
     z = np.load(io.BytesIO(body))
+    ids, near = z["ids"], z["near"]
     layers, at = [], 0
     for m in z["shapes"]:
-        layer = Layer(z["ids"][at : at + m])
-        layer.near = z["near"][at : at + m]
+        layer = Layer(ids[at : at + m])
+        layer.near = near[at : at + m]
         layers.append(layer)
         at += m
-    return z["id"], z["unit"], layers
-
-
-def _query_shards(threshold: float):
-    def run(batches):
-        """One shard's vectors against another's graph: counts of links by vector, and spanning links."""
-        for batch in batches:
-            for left, right, same in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), batch.column("same").to_pylist(), strict=True):
-                qid, q, _ = _unpack(left)
-                ids, unit, layers = _unpack(right)
-                a, b = links(unit, layers, q, threshold)
-                if same:
-                    if len(a):  # either end may have found a link
-                        both = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
-                        a, b = both // len(ids), both % len(ids)
-                    off = a != b
-                    a, b = a[off], b[off]
-                    n = np.bincount(a, minlength=len(qid))
-                    nodes, count = qid, n
-                else:
-                    nodes = np.concatenate([qid, ids])
-                    count = np.concatenate([np.bincount(a, minlength=len(qid)), np.bincount(b, minlength=len(ids))])
-                u, v = _spanning(qid[a], ids[b])
-                keep = count > 0
-                yield pa.RecordBatch.from_pydict({
-                    "a": pa.array(np.concatenate([nodes[keep], u])), "n": pa.array(np.concatenate([count[keep], np.zeros(len(u), np.int64)])),
-                    "b": pa.array(np.concatenate([nodes[keep], v])),
-                })
-
-    return run
+    return z["id"], z["n"], z["unit"], layers
+
+
+def _meet(left: bytes, right: bytes, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, n, b): the count n of rows that node a links with (b is a then), and spanning links a-b (n is 0)."""
+    ids, n, unit, layers = _unpack(left)
+    others, m, unit2, layers2 = (ids, n, unit, layers) if same else _unpack(right)
+    a, b = links(unit2, layers2, unit, threshold, same)
+    # either end may have found a link
+    c, d = (b, a) if same else links(unit, layers, unit2, threshold)[::-1]
+    both = np.unique(np.concatenate([a * len(others) + b, c * len(others) + d]))
+    a, b = both // len(others), both % len(others)
+    sums = [(ids, np.bincount(a, weights=m[b], minlength=len(ids)))]
+    if not same:
+        sums.append((others, np.bincount(b, weights=n[a], minlength=len(others))))
+    nodes, count = (np.concatenate(x) for x in zip(*sums, strict=True))
+    keep = count > 0
+    u, v = _spanning(ids[a], others[b])
+    return np.append(nodes[keep], u), np.append(count[keep].astype(np.int64), np.zeros(len(u), np.int64)), np.append(nodes[keep], v)
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `embeddings`."""
+    import pandas as pd
+
     spark = embeddings.sparkSession
     d = F.col("embedding").cast("array<double>")
-    good = F.forall(d, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(d, lambda v: v != 0)
-    v = embeddings.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & good)
-    v = v.select("vec_id", "label", F.size("embedding").alias("dim"), d.alias("x"))
+    good = F.forall(d, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(d, lambda v: v != 0) & F.col("label").isNotNull()
+    rows = embeddings.select("vec_id", "label", F.when(good, d).alias("x"), F.monotonically_increasing_id().alias("row"))
+    equal = materialise(rows.where("x is not null").groupBy("label", "x").agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.min("vec_id").alias("least")), "vectors")
+    v = equal.select("rep", "n", "label", F.size("x").alias("dim"), "x")
     sizes = v.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("shards"))
-    v = v.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    graphs = materialise(v.select("vec_id", "label", "dim", "shard", "x").groupBy("label", "dim", "shard").applyInPandas(_build_shard, f"label {embeddings.schema['label'].dataType.simpleString()}, dim int, shard int, body binary"), "graphs")
+    v = v.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    kind = embeddings.schema["label"].dataType.simpleString()
+    graphs = materialise(v.drop("shards").groupBy("label", "dim", "shard").applyInPandas(_build_shard, f"label {kind}, dim int, shard int, body binary"), "graphs")
     left = graphs.select("label", "dim", F.col("shard").alias("s"), F.col("body").alias("left"))
-    pairs = left.join(graphs, ["label", "dim"]).where("s <= shard").select("left", F.col("body").alias("right"), (F.col("s") == F.col("shard")).alias("same"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    found = materialise(pairs.repartition(F.xxhash64("left", "right")).mapInArrow(_query_shards(threshold), "a long, n long, b long"), "links")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    degree = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    comp = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("vec_id"), "component")
-    out = embeddings.select("vec_id").join(degree, "vec_id", "left").join(comp, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("vec_id")), F.lit(True)).alias("kept"))
+    pairs = left.join(graphs.withColumnRenamed("body", "right"), ["label", "dim"]).where("s <= shard")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        a, n, b = _meet(r["left"], r["right"], r["s"] == r["shard"], threshold)
+        return pd.DataFrame({"a": a, "n": n, "b": b})
+
+    found = materialise(pairs.groupBy("label", "dim", "s", "shard").applyInPandas(meet, "a long, n long, b long"), "links")
+    degree = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
+    comp = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    node = equal.join(degree, "rep", "left").join(comp, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = node.groupBy("root").agg(F.min("least").alias("component_id"))
+    node = node.join(least, "root").select(F.col("label").alias("l"), F.col("x").alias("y"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.join(node, (rows["label"] == node["l"]) & (rows["x"] == node["y"]), "left")
+    linked = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), linked.alias("component_id"), F.col("vec_id").eqNullSafe(linked).alias("kept"))
 
 
 def op3_hnsw(spark, sf_dir: str) -> DataFrame:
