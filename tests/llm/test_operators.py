@@ -160,14 +160,14 @@ def test_hnsw_against_all_pairs(spark):
 def test_topk_against_all_pairs(spark):
     x = topk.scaled(vectors(spark))
     rows = [(r["vec_id"], r["x"]) for r in x.collect()]
-    got = sorted(map(tuple, topk.search(x, x.where("vec_id % 50 = 0"), 5).collect()))
+    got = sorted(map(tuple, topk.search(x, "vec_id % 50 = 0", 5).collect()))
     want = []
     for i, a in rows:
         if i % 50 == 0:
             s = sorted((-sum(p * q for p, q in zip(a, b, strict=False)), j) for j, b in rows if j != i)[:5]
             want += [(i, k + 1, j, -t) for k, (t, j) in enumerate(s)]
     assert got == sorted(want)
-    assert topk.search(empty(x), empty(x)).count() == 0
+    assert topk.search(empty(x), "vec_id % 50 = 0").count() == 0
 
 
 def test_mixing_stays_within_a_block(spark):
