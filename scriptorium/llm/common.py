@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. Only a local session may do without the setting, with a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.scriptorium.shared.dir", None)
         if not found:
             found = tempfile.mkdtemp(prefix="scriptorium-")
@@ -27,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that `materialise` has written, for `Scratch`.
+_WRITTEN: list[DataFrame] = []
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write `df` into the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession
@@ -34,9 +40,28 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scriptorium_path = path
+    _WRITTEN.append(out)
     return out
 
 
+class Scratch:
+    """Deletes the tables written within it, but for those kept, when it ends."""
+
+    def __enter__(self) -> Scratch:
+        self.start, self.kept = len(_WRITTEN), []
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        for t in _WRITTEN[self.start :]:
+            if not any(t is k for k in self.kept):
+                discard(t)
+        del _WRITTEN[self.start :]
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table written by `materialise` that no later plan reads."""
     path = getattr(df, "_scriptorium_path", None)
@@ -51,9 +76,10 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(n))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound what one Arrow batch holds in a Python worker, in rows and, but for its last row, in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -65,10 +91,15 @@ def parts(n_rows: int, per: int) -> int:
     return max(1, math.ceil(n_rows / per))
 
 
-def sum_arrays(df: DataFrame, n_values: int, dtype: str = "<i8", chunk: int = 65536) -> np.ndarray:
-    """Add up the fixed-size integer arrays that the tasks of `df` emit as (chunk int, body binary).
+#: Tasks that count into tables of their own, at most, however many partitions the input has.
+COUNTERS = 2048
+
+
+def sum_arrays(df: DataFrame, count, n_values: int, dtype: str = "<i8", chunk: int = 65536) -> np.ndarray:
+    """Add up the fixed-size integer arrays that `count` makes of the partitions of `df`, as (chunk int, body binary).
 
-    The sums stream: a task holds one array for each of its chunks. The sum has `n_values` entries whatever the input's size, so collecting it is bounded."""
+    At most COUNTERS tasks count, so that what is shuffled is bounded too. The sums stream: a task holds one array for each of its chunks. The sum has `n_values` entries whatever the input's size, so collecting it is bounded."""
+    df = df.coalesce(COUNTERS).mapInArrow(count, "chunk int, body binary")
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}

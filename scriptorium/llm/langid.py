@@ -1,20 +1,21 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text falls into windows: its white-space-delimited words, long ones in pieces. Over each
-window a forward and a backward GRU run byte by byte, and a softmax labels every position
-that holds a letter. A document's probability of a language is the mean over all its labelled
-positions, in the whole text. The network is trained in numpy by backpropagation through
-time. A window's labels depend on its bytes alone, so a worker remembers, up to a bound, the
-windows it has labelled and runs the network once for each different one.
-
-Defined cases: a null text or one without letters is `und` with score 0; a null lang is never
-learned from; a null doc_id is predicted, never learned from and not held out; with no
-learnable language everything is `und`; ties go to the language first in order."""
+The bytes of a text in lower case fall into windows of WINDOW bytes one after another, spaces and signs included. Over
+each window a forward and a backward GRU run byte by byte, across word ends, and a softmax labels
+every position that belongs to a letter. A document's probability of a language is the mean over
+all its labelled positions, in the whole text. The network is trained in numpy by
+backpropagation through time, on all windows of a bounded sample of rows.
+
+Defined cases: a null text or one without letters (Unicode category L) is `und` with score 0; a
+null lang is never learned from; a null doc_id is predicted, never learned from and not held
+out; with no learnable language everything is `und`; ties go to the language first in order;
+repeated rows are predicted alike; an empty table gives no rows; a very long text goes through
+the network a bounded number of windows at a time; extra columns are not read, but those asked
+for are carried along."""
 
 from __future__ import annotations
 
-import re
-from itertools import chain
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,60 +24,43 @@ from pyspark.sql import functions as F
 
 from .common import fold, small_batches, table
 
-WINDOW, HIDDEN = 24, 16
-#: Training reads at most this many documents in all, an equal share for each language, and
-#: at most this many bytes and windows from them.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WINDOWS = 2048, 4096, 60_000
-EPOCHS, BATCH, SEED = 2, 256, 11
+WINDOW, HIDDEN = 64, 16
+#: Training reads at most this many rows in all, an equal share for each language and one at least.
+SAMPLE_DOCS = 400
+EPOCHS, BATCH, SEED = 2, 128, 11
 UND = "und"
-REMEMBERED = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def windows_of(raw: bytes) -> list[bytes]:
-    """Words of at most WINDOW bytes; a longer word is cut between characters where it can be."""
-    words = raw.split()
-    if max(map(len, words), default=0) <= WINDOW:
-        return words
-    return list(chain.from_iterable([w] if len(w) <= WINDOW else _cut(w) for w in words))
-
-
-def _cut(w: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(w):
-        to = min(at + WINDOW, len(w))
-        while to < len(w) and to > at + WINDOW - 4 and w[to] & 0xC0 == 0x80:
-            to -= 1
-        out.append(w[at:to])
-        at = to
-    return out
+PAD = 256
+#: Windows that go through the network together.
+TOGETHER = 2048
+_BMP = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(1 << 16)])
 
 
-def letter_positions(w: bytes) -> np.ndarray:
-    """Which bytes belong to letters: all bytes of a character that is one."""
-    if w.isalpha():
-        return np.ones(len(w), bool)
-    out = np.zeros(len(w), bool)
-    at = 0
-    for c in w.decode("utf-8", "replace"):
-        n = len(c.encode()) if c != "�" or w[at : at + 3] == b"\xef\xbf\xbd" else 1
-        out[at : at + n] = bool(_LETTER.match(c))
-        at += n
-    return out
+def letters(text: str) -> np.ndarray:
+    """Which bytes of a text's UTF-8 belong to letters."""
+    if text.isascii():
+        return _BMP[np.frombuffer(text.encode("ascii"), np.uint8)]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    is_letter = _BMP[np.minimum(code, 0xFFFF)]
+    for i in np.flatnonzero(code > 0xFFFF).tolist():
+        is_letter[i] = unicodedata.category(chr(code[i]))[0] == "L"
+    return np.repeat(is_letter, 1 + (code > 0x7F) + (code > 0x7FF).astype(int) + (code > 0xFFFF))
 
 
-def arrays(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, labelled) of equally many positions for each window; 256 pads."""
-    n, width = len(ws), max(map(len, ws))
-    x, on = np.full((n, width), 256, np.int64), np.zeros((n, width), bool)
-    for i, w in enumerate(ws):
-        x[i, : len(w)] = np.frombuffer(w, np.uint8)
-        on[i, : len(w)] = letter_positions(w)
-    return x, on
+def arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, labelled, text number) of all windows of `texts`; PAD fills the last window of each."""
+    texts = [t.lower() for t in texts]
+    raw = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
+    n = np.array([-(-len(r) // WINDOW) for r in raw], np.int64)
+    x, on = np.full(int(n.sum()) * WINDOW, PAD, np.int64), np.zeros(int(n.sum()) * WINDOW, bool)
+    for r, t, at in zip(raw, texts, ((np.cumsum(n) - n) * WINDOW).tolist(), strict=True):
+        x[at : at + len(r)] = r
+        on[at : at + len(r)] = letters(t)
+    return x.reshape(-1, WINDOW), on.reshape(-1, WINDOW), np.repeat(np.arange(len(texts)), n)
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _softsign(x):
+    """x / (1 + |x|), in place of tanh, and halved and shifted in place of the logistic function: it needs no exponentials."""
+    return x / (1 + np.abs(x))
 
 
 def start(n_langs: int, rng) -> dict[str, np.ndarray]:
@@ -98,10 +82,10 @@ def run_direction(p: dict, d: str, x: np.ndarray, keep: bool):
     e, u = p[f"e{d}"], p[f"u{d}"]
     for t in range(width) if d == "f" else range(width - 1, -1, -1):
         a = e[x[:, t]]
-        gates = _sigmoid(a[:, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
+        gates = (1 + _softsign(a[:, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])) / 2
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         rh = r * h
-        c = np.tanh(a[:, 2 * HIDDEN :] + rh @ u[:, 2 * HIDDEN :])
+        c = _softsign(a[:, 2 * HIDDEN :] + rh @ u[:, 2 * HIDDEN :])
         live = (x[:, t] < 256)[:, None]
         new = np.where(live, h + z * (c - h), h)
         if keep:
@@ -111,13 +95,45 @@ def run_direction(p: dict, d: str, x: np.ndarray, keep: bool):
     return out, trace
 
 
-def probabilities(p: dict, x: np.ndarray) -> np.ndarray:
-    """Softmax over languages at every position."""
-    f, _ = run_direction(p, "f", x, False)
-    b, _ = run_direction(p, "b", x, False)
-    logit = f @ p["out"][:HIDDEN] + b @ p["out"][HIDDEN:] + p["out_b"]
-    logit = np.exp(logit - logit.max(2, keepdims=True))
-    return logit / logit.sum(2, keepdims=True)
+def pooled(p: dict, x: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Each window's probabilities of the languages, summed over its labelled positions."""
+    n, width = x.shape
+    steps = np.ascontiguousarray(x.T)
+    whole = steps.max(1) < PAD  # steps without a pad
+    logits = np.empty((width, n, len(p["out_b"])), np.float32)
+    total = np.zeros((n, len(p["out_b"])), np.float32)
+    held, half = np.empty((n, 2 * HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+    for d in "fb":
+        e, u, out = p[f"e{d}"], p[f"u{d}"], p["out"][:HIDDEN] if d == "f" else p["out"][HIDDEN:]
+        u_gates, u_new = np.ascontiguousarray(u[:, : 2 * HIDDEN]), np.ascontiguousarray(u[:, 2 * HIDDEN :] / 2)
+        e_gates, e_new = np.ascontiguousarray(e[:, : 2 * HIDDEN]), np.ascontiguousarray(e[:, 2 * HIDDEN :])
+        h = np.zeros((n, HIDDEN), np.float32)
+        for t in range(width) if d == "f" else range(width - 1, -1, -1):
+            gates = e_gates.take(steps[t], 0)
+            gates += np.matmul(h, u_gates, out=held)
+            np.abs(gates, out=held)
+            held += 1
+            gates /= held
+            gates += 1  # twice the gates
+            new = e_new.take(steps[t], 0)
+            new += np.multiply(gates[:, HIDDEN:], h, out=half) @ u_new
+            np.abs(new, out=half)
+            half += 1
+            new /= half
+            new -= h
+            new *= np.multiply(gates[:, :HIDDEN], 0.5, out=half)
+            if not whole[t]:
+                new[steps[t] == PAD] = 0
+            h += new
+            if d == "f":
+                np.add(h @ out, p["out_b"], out=logits[t])
+            else:
+                q = logits[t] + h @ out
+                q -= q.max(1, keepdims=True)
+                np.exp(q, out=q)
+                q *= (on[:, t] / q.sum(1))[:, None].astype(np.float32)
+                total += q
+    return total
 
 
 def gradient(p: dict, x: np.ndarray, on: np.ndarray, y: np.ndarray) -> dict:
@@ -135,36 +151,38 @@ def gradient(p: dict, x: np.ndarray, on: np.ndarray, y: np.ndarray) -> dict:
     g["out_b"] = q.sum((0, 1))
     back = q @ p["out"].T
     for d, trace, dh_all in (("f", tf, back[:, :, :HIDDEN]), ("b", tb, back[:, :, HIDDEN:])):
-        u, dh = p[f"u{d}"], np.zeros((len(y), HIDDEN), np.float32)
+        u, dh, into = p[f"u{d}"], np.zeros((len(y), HIDDEN), np.float32), []
         for t, h, z, r, rh, c, live in reversed(trace):
             dh = dh + dh_all[:, t]
             on_dh = np.where(live, dh, 0)
-            dc = on_dh * z * (1 - c * c)
-            dz = on_dh * (c - h) * z * (1 - z)
+            dc = on_dh * z * (1 - np.abs(c)) ** 2
+            dz = on_dh * (c - h) * (1 - np.abs(2 * z - 1)) ** 2 / 2
             drh = dc @ u[:, 2 * HIDDEN :].T
-            dr = drh * h * r * (1 - r)
+            dr = drh * h * (1 - np.abs(2 * r - 1)) ** 2 / 2
             gates = np.concatenate([dz, dr], 1)
             g[f"u{d}"][:, : 2 * HIDDEN] += h.T @ gates
             g[f"u{d}"][:, 2 * HIDDEN :] += rh.T @ dc
-            np.add.at(g[f"e{d}"], x[:, t], np.concatenate([gates, dc], 1))
+            into.append((x[:, t], np.concatenate([gates, dc], 1)))
             dh = np.where(live, dh * (1 - z), dh) + gates @ u[:, : 2 * HIDDEN].T + drh * r
+        byte, part = (np.concatenate(c) for c in zip(*into, strict=True))
+        order = np.argsort(byte, kind="stable")
+        byte, part = byte[order], part[order]
+        first = np.flatnonzero(np.diff(byte, prepend=-1))
+        g[f"e{d}"][byte[first]] = np.add.reduceat(part, first, axis=0)
     return g
 
 
-def train(ws: list[bytes], y: np.ndarray, n_langs: int) -> dict:
+def train(x: np.ndarray, on: np.ndarray, y: np.ndarray, n_langs: int) -> dict:
     rng = np.random.default_rng(SEED)
     p = start(n_langs, rng)
     m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    size = np.array([len(w) for w in ws])
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(ws))
-        order = order[np.argsort(size[order] // 4, kind="stable")]  # alike lengths share a batch
-        batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-        for i in rng.permutation(len(batches)):
-            x, on = arrays([ws[j] for j in batches[i]])
-            g = gradient(p, x, on, y[batches[i]])
+        order = rng.permutation(len(x))
+        for i in range(0, len(order), BATCH):
+            use = order[i : i + BATCH]
+            g = gradient(p, x[use], on[use], y[use])
             t += 1
-            rate = 0.01 / (1 + epoch)
+            rate = 0.02 / (1 + epoch)
             for k in p:
                 d = np.clip(g[k], -1, 1)
                 m[k] += 0.1 * (d - m[k])
@@ -173,67 +191,56 @@ def train(ws: list[bytes], y: np.ndarray, n_langs: int) -> dict:
     return p
 
 
-def fit(docs: DataFrame, folds: int = 5, held: int = 0) -> tuple[list[str], dict | None]:
+def fit(docs: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE_DOCS) -> tuple[list[str], dict | None]:
     """(languages in order, network), from rows with a lang whose crc32 modulo `folds` is not `held`."""
     rest = fold(F.col("doc_id"), folds)
-    known = docs.where(F.col("lang").isNotNull() & (rest != held)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    langs.sort()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (rest != held)).select("lang", "text", "doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    # one row for each language that the network is to tell apart
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], None
-    share = max(1, SAMPLE_DOCS // len(langs))
+    share = max(1, sample // len(langs))
+    # some times the share of a frequent language, by hash, so that no task sees all its rows
+    few = docs.sparkSession.createDataFrame([(k, min(1.0, (4 * share + 64) / n)) for k, n in sizes.items()], "lang string, part double")
+    known = known.join(F.broadcast(few), "lang").where(F.col("h") / 2.0**64 + 0.5 < F.col("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    use = known.withColumn("n", rank).where(F.col("n") <= share).select("doc_id", "lang").distinct()
-    # bounded: SAMPLE_DOCS rows of SAMPLE_BYTES characters
-    got = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(use), "doc_id").where("text is not null").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    rng = np.random.default_rng(SEED)
-    ws, y = [], []
-    per = max(1, SAMPLE_WINDOWS // max(1, len(got)))
-    for r in got:
-        w = windows_of(r["text"].encode("utf-8", "replace"))
-        w = [w[i] for i in rng.permutation(len(w))[:per]]
-        ws += w
-        y += [langs.index(r["lang"])] * len(w)
-    return (langs, train(ws, np.array(y), len(langs))) if ws else ([], None)
-
-
-class Labeller:
-    """Row number of every window in tables of summed probabilities and labelled positions."""
-
-    def __init__(self, p: dict, n_langs: int):
-        self.p, self.n = p, n_langs
-        self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((0, n_langs + 1), np.float32)
-
-    def learn(self, ws: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(ws) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.sums = self.sums[:0]
-            new = list(dict.fromkeys(ws))
-        if not new:
-            return
-        new.sort(key=len)
-        out = np.zeros((len(new), self.n + 1), np.float32)
-        for i in range(0, len(new), 2048):
-            x, on = arrays(new[i : i + 2048])
-            q = probabilities(self.p, x) * on[:, :, None]
-            out[i : i + 2048, : self.n] = q.sum(1)
-            out[i : i + 2048, self.n] = on.sum(1)
-        for k, w in enumerate(new, len(self.sums)):
-            self.known[w] = k
-        self.sums = np.concatenate([self.sums, out])
-
-    def document(self, ws: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-        return self.sums[at].sum(0, dtype=np.float64)
+    got = known.withColumn("n", rank).where(F.col("n") <= share).select("lang", "h", "doc_id", "text").collect()  # `sample` rows, or one for each language
+    got.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"]))
+    x, on, text = arrays([r["text"] for r in got])
+    use = on.any(1)
+    y = np.array([langs.index(r["lang"]) for r in got], np.int64)[text]
+    return (langs, train(x[use], on[use], y[use], len(langs))) if use.any() else ([], None)
+
+
+def _groups(texts: list[str], size: int = WINDOW * TOGETHER):
+    """Ranges of texts of about `size` characters in all; a longer one comes alone."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > size:
+            yield at, i
+            at, held = i, 0
+        held += len(t) + WINDOW // 2
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def document_sums(p: dict, texts: list[str], n_langs: int) -> np.ndarray:
+    """Summed probabilities of each text, and in the last column its labelled positions."""
+    out = np.zeros((len(texts), n_langs + 1))
+    for i, j in _groups(texts):
+        x, on, text = arrays(texts[i:j])
+        for k in range(0, len(x), TOGETHER):
+            part = slice(k, k + TOGETHER)
+            sums = pooled(p, x[part], on[part]).astype(np.float64)
+            np.add.at(out[i:j], text[part], np.concatenate([sums, on[part].sum(1, keepdims=True)], 1))
+    return out
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`columns` of every row of `docs` with `lang_pred` and its `score`."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, folds, held))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, folds, held))  # a fixed number of values and some for each language
     fields = [f for f in docs.schema.fields if f.name in columns]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
@@ -241,23 +248,12 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, columns: tuple[str,
 
     def run(batches):
         langs, p = shared.value
-        labeller = Labeller(p, len(langs))
         for b in batches:
-            raw = [x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()]
-            pred, score = [], []
-            for i in range(0, len(raw), 100):
-                ws = [windows_of(x) for x in raw[i : i + 100]]
-                if langs:
-                    labeller.learn(list(chain.from_iterable(ws)))
-                for w in ws:
-                    s = labeller.document(w) if langs and w else np.zeros(len(langs) + 1)
-                    if s[-1] > 0:
-                        k = int(np.argmax(s[:-1]))
-                        pred.append(langs[k])
-                        score.append(float(min(1.0, s[k] / s[-1])))
-                    else:
-                        pred.append(UND)
-                        score.append(0.0)
+            sums = document_sums(p, [t or "" for t in b.column(text).to_pylist()], len(langs)) if langs else np.zeros((b.num_rows, 1))
+            some = sums[:, -1] > 0
+            k = sums[:, :-1].argmax(1) if langs else np.zeros(len(sums), int)
+            score = np.where(some, np.minimum(sums[np.arange(len(sums)), k] / np.maximum(sums[:, -1], 1), 1.0), 0.0)
+            pred = [langs[i] if yes else UND for i, yes in zip(k.tolist(), some.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
 
     return docs.select(*(f.name for f in fields), *([] if text == "text" else [F.col("text").alias(text)])).mapInArrow(run, schema)

@@ -25,6 +25,8 @@ from .common import small_batches, table, texts
 from .textvec import scramble, slices, tokens
 
 LENGTH, END = 1024, 0
+#: Bytes of text in a range of the curve, about.
+RANGE = 16 << 20
 DIMS, BITS, HASHED = 4, 10, 1 << 12
 #: How the vocabulary file writes bytes that do not print as characters, and
 #: the pattern that splits a text before merging.
@@ -207,7 +209,13 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
             yield batch(rows)
 
     key = docs.select("doc_id", "text").mapInArrow(keyed, "doc_id long, text string, key long")
-    order = key.repartitionByRange(F.col("key"), F.xxhash64("doc_id")).sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id")
+    # ranges of a bounded size; rows of one key, id and text differ by a number, and are alike
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, -(-size // RANGE))
+    ties = [F.xxhash64("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    key = key.select("*", *(t.alias(f"tie{i}") for i, t in enumerate(ties)))
+    by = ["key", "tie0", "tie1", "tie2"]
+    order = key.repartitionByRange(n, *by).sortWithinPartitions(*by)
     return order.select("doc_id", "text").mapInArrow(cut, SCHEMA)
 
 

@@ -283,13 +283,21 @@ def test_language_and_gradient(spark):
     assert langid.identify(empty(d)).count() == 0
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in langid.start(2, rng).items()}
-    x, on = langid.arrays([b"abc", b"de", "é1".encode()])
+    x, on, _ = langid.arrays(["abc d", "De", "é1 x"])
+    assert on.sum(1).tolist() == [4, 2, 3]
     y = np.array([0, 1, 0])
 
+    def softmax(p):
+        f, b = (langid.run_direction(p, d, x, False)[0] for d in "fb")
+        q = np.exp(np.concatenate([f, b], 2) @ p["out"] + p["out_b"])
+        return q / q.sum(2, keepdims=True)
+
     def loss(p):
-        q = langid.probabilities(p, x)
+        q = softmax(p)
         return -(np.log(q[np.arange(3)[:, None], np.arange(x.shape[1])[None], y[:, None]]) * on).sum() / on.sum()
 
+    single = {k: v.astype(np.float32) for k, v in p.items()}
+    assert np.allclose(langid.pooled(single, x, on), (softmax(single) * on[:, :, None]).sum(1), atol=1e-4)
     g = langid.gradient(p, x, on, y)
     for k in ("ef", "ub", "out"):
         at = (97, 3) if k == "ef" else (2, 1)
