@@ -65,7 +65,7 @@ def test_lm_counts_and_base(spark):
 def test_word_probabilities_do_not_exceed_one():
     rng = np.random.default_rng(0)
     tables = rng.integers(0, 50, (lm.K, lm.SLOTS * 2)).astype(np.uint32)
-    model = (lm.frozen(tables), np.full((lm.GATES, lm.K), 0.3, np.float32), np.full(lm.APM_CTX * lm.APM_BINS, 0.5))
+    model = (lm.frozen(tables), lm.left_out(tables), np.full((lm.GATES, lm.K), 0.3, np.float32), np.full(lm.APM_CTX * lm.APM_BINS, 0.5))
     assert np.exp2(-lm.word_bits([bytes([b]) for b in range(33, 256)] + [b""], model)).sum() <= 1
 
 
