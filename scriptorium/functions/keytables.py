@@ -52,6 +52,35 @@ def _letters(extra: dict[str, str], keys: str = LATIN + LATIN_UP, values: str =
     return dict(zip(keys, values, strict=True)) | extra
 
 
+# Letters of the four fonts that do not share the keys above.
+TIMESGREEK_LETTERS = {
+    "a": "α", "b": "β", "g": "γ", "d": "δ", "e": "ε", "j": "η", "q": "θ", "i": "ι", "k": "κ", "l": "λ", "m": "μ", "n": "ν", "z": "ξ", "o": "ο", "p": "π", "r": "ρ",
+    "s": "σ", "t": "τ", "u": "υ", "f": "φ", "x": "χ", "y": "ψ", "w": "ω", "v": "ς", "c": "ζ", "A": "Α", "B": "Β", "G": "Γ", "D": "Δ", "E": "Ε", "J": "Η", "Q": "Θ",
+    "I": "Ι", "K": "Κ", "L": "Λ", "M": "Μ", "N": "Ν", "Z": "Ξ", "O": "Ο", "P": "Π", "R": "Ρ", "S": "Σ", "T": "Τ", "U": "Υ", "F": "Φ", "X": "Χ", "Y": "Ψ", "W": "Ω",
+    "V": "Σ", "C": "Ζ", "h": "ζ", "É": "ώ", "ß": "ή", "á": "ά", "é": "έ", "ê": "ἐ", "í": "ί", "ó": "ό", "ú": "ύ", "¬": "ῶ", "±": "ῆ", "ò": "ὸ", "à": "ὰ", "ä": "ἁ",
+    "ì": "ὶ", "û": "ὐ", "â": "ἀ", "⁄": "ῖ", "º": "ὅ", "Õ": "ῦ", "î": "ἰ", "™": "ἡ", "¢": "ᾶ", "ü": "ὑ", "÷": "ἴ", "∫": "ὄ", "À": "ὕ", "¿": "ὥ", "è": "ὲ", "Ü": "ὡ",
+    "ë": "ἑ",
+}
+GRECMONOTYPE_LETTERS = {
+    "a": "α", "b": "β", "g": "γ", "d": "δ", "e": "ε", "z": "ζ", "h": "η", "q": "θ", "i": "ι", "k": "κ", "l": "λ", "m": "μ", "n": "ν", "x": "ξ", "o": "ο", "p": "π",
+    "r": "ρ", "s": "σ", "t": "τ", "u": "υ", "f": "φ", "c": "χ", "y": "ψ", "w": "ω", "A": "Α", "B": "Β", "G": "Γ", "D": "Δ", "E": "Ε", "Z": "Ζ", "H": "Η", "Q": "Θ",
+    "I": "Ι", "K": "Κ", "L": "Λ", "M": "Μ", "N": "Ν", "X": "Ξ", "O": "Ο", "P": "Π", "R": "Ρ", "S": "Σ", "T": "Τ", "U": "Υ", "F": "Φ", "C": "Χ", "Y": "Ψ", "W": "Ω",
+    "V": "ς", "\ue040": "έ", "\ue061": "ὶ", "\ue043": "ἐ", "\ue030": "ά", "\ue062": "ῖ", "\ue031": "ὰ", "\ue071": "ὸ", "\ue033": "ἀ", "\ue041": "ὲ", "\ue054": "ἡ", "\ue0a2": "ῦ", "\ue0a3": "ὐ", "\ue070": "ό", "\ue051": "ὴ", "\ue0b2": "ῶ",
+    "\ue052": "ῆ", "\ue045": "ἔ", "\ue077": "ὅ", "\ue035": "ἄ", "\ue0b0": "ώ", "\ue050": "ή", "\ue032": "ᾶ", "\ue065": "ἴ", "\ue0a9": "ὖ", "\ue047": "ἕ", "\ue069": "ἶ", "\ue075": "ὄ", "\ue0b4": "ὡ", "\ue067": "ἵ", "\ue06a": "ἷ", "\ue0b7": "ὥ",
+    "\ue0a5": "ὔ", "\ue064": "ἱ", "\ue063": "ἰ", "\ue074": "ὁ", "\ue044": "ἑ", "\ue0a4": "ὑ", "\ue073": "ὀ", "\ue053": "ἠ", "\ue0c3": "ῃ", "\ue0cc": "ῇ", "\ue0a1": "ὺ", "\ue036": "ἂ", "\ue056": "ἢ",
+}
+SPIONIC_CID_LETTERS = {
+    "C": "α", "#": "Α", "D": "β", "$": "Β", "I": "γ", ")": "Γ", "F": "δ", "&": "Δ", "G": "ε", "'": "Ε", "\\": "ζ", "<": "Ζ", "J": "η", "*": "Η", "S": "θ", "3": "Θ",
+    "K": "ι", "+": "Ι", "M": "κ", "-": "Κ", "N": "λ", ".": "Λ", "O": "μ", "/": "Μ", "P": "ν", "0": "Ν", "E": "ξ", "%": "Ξ", "Q": "ο", "1": "Ο", "R": "π", "2": "Π",
+    "T": "ρ", "4": "Ρ", "U": "σ", "5": "Σ", "L": "ς", ",": "Σ", "V": "τ", "6": "Τ", "W": "υ", "7": "Υ", "H": "φ", "(": "Φ", "Z": "χ", ":": "Χ", "[": "ψ", ";": "Ψ",
+    "Y": "ω", "9": "Ω",
+}
+SPIONIC_ASCII_LETTERS = {
+    "a": "α", "b": "β", "g": "γ", "d": "δ", "e": "ε", "z": "ζ", "h": "η", "q": "θ", "i": "ι", "k": "κ", "l": "λ", "m": "μ", "n": "ν", "c": "ξ", "o": "ο", "p": "π",
+    "r": "ρ", "s": "σ", "j": "ς", "t": "τ", "u": "υ", "f": "φ", "x": "χ", "y": "ψ", "w": "ω", "A": "Α", "B": "Β", "G": "Γ", "D": "Δ", "E": "Ε", "Z": "Ζ", "H": "Η",
+    "Q": "Θ", "I": "Ι", "K": "Κ", "L": "Λ", "M": "Μ", "N": "Ν", "C": "Ξ", "O": "Ο", "P": "Π", "R": "Ρ", "S": "Σ", "T": "Τ", "U": "Υ", "F": "Φ", "X": "Χ", "Y": "Ψ",
+    "W": "Ω",
+}
 # The nine tables, in the order that breaks ties.
 ENCODINGS = [
     Encoding("graeca", "Graeca", ("Graeca",), _letters({'"': "ς"}), GRAECA_MARKS | {"`": DIAER + GRAVE, "?": DIAER + ACUTE}, {"!": "’", "_": ";"}, ".,:()", GRAECA_SURE | {"?": 0.97}),
@@ -64,29 +93,20 @@ ENCODINGS = [
         {"\\": "·", "Å": "."}, '()[]{}<>:!"*', final_punct={",": ",", ".": "."}, final_apostrophe="vV",
     ),
     Encoding(
-        "timesgreek", "TimesGreek", ("TimesGreek",),
-        _letters(
-            dict(zip("vcVChÉßáéêíóú¬±òàäìûâ⁄ºÕî™¢ü÷∫À¿èÜë", "ςζΣΖζώήάέἐίόύῶῆὸὰἁὶὐἀῖὅῦἰἡᾶὑἴὄὕὥὲὡἑ", strict=True)),
-            "abgdejqiklmnzoprstufxywABGDEJQIKLMNZOPRSTUFXYW", "αβγδεηθικλμνξοπρστυφχψωΑΒΓΔΕΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
-        ),
+        "timesgreek", "TimesGreek", ("TimesGreek",), TIMESGREEK_LETTERS,
         {"ç": IOTA, "ˆ": SMOOTH}, {"’": "’"}, ".,;:()!",
     ),
     Encoding(
-        "grecmonotype", "GrecMonotype", ("GrecMonotype", "GrecAcc"),
-        _letters({"V": "ς"}) | dict(zip(
-            "\ue040\ue061\ue043\ue030\ue062\ue031\ue071\ue033\ue041\ue054\ue0a2\ue0a3\ue070\ue051\ue0b2\ue052\ue045\ue077\ue035\ue0b0\ue050\ue032\ue065\ue0a9\ue047\ue069\ue075\ue0b4\ue067\ue06a\ue0b7\ue0a5\ue064\ue063\ue074\ue044\ue0a4\ue073\ue053\ue0c3\ue0cc\ue0a1\ue036\ue056",
-            "έὶἐάῖὰὸἀὲἡῦὐόὴῶῆἔὅἄώήᾶἴὖἕἶὄὡἵἷὥὔἱἰὁἑὑὀἠῃῇὺἂἢ", strict=True)),
+        "grecmonotype", "GrecMonotype", ("GrecMonotype", "GrecAcc"), GRECMONOTYPE_LETTERS,
         {"\ue042": SMOOTH}, {"’": "’", "'": "’", "-": "-", "\ue0c5": "’"}, ".,:()[]!;", final_apostrophe="\ue042", accent_fonts=("GrecAcc",),
     ),
     Encoding(
-        "spionic-cid", "SPIonic", ("SPIonic",),
-        dict(zip("C#D$I)F&G'\\<J*S3K+M-N.O/P0E%Q1R2T4U5L,V6W7H(Z:[;Y9", "αΑβΒγΓδΔεΕζΖηΗθΘιΙκΚλΛμΜνΝξΞοΟπΠρΡσΣςΣτΤυΥφΦχΧψΨωΩ", strict=True)),
+        "spionic-cid", "SPIonic", ("SPIonic",), SPIONIC_CID_LETTERS,
         {"\x12": ACUTE, "\x13": SMOOTH, ">": GRAVE, "`": CIRC, "^": CIRC + IOTA, "\x1f": CIRC, "\x0c": SMOOTH, "A": GRAVE, "\x0b": ROUGH, "\x14": SMOOTH + ACUTE}, {},
         "\x01\x02\x03\x04\x0e\x0f\x10\x11\x1b\x1c\x1d\x1e\x7f", cid=True,
     ),
     Encoding(
-        "spionic-ascii", "SPIonic (ASCII text keys)", (),
-        _letters({"j": "ς"}, "abgdezhqiklmncoprstufxywABGDEZHQIKLMNCOPRSTUFXYW", GREEK + GREEK_UP),
+        "spionic-ascii", "SPIonic (ASCII text keys)", (), SPIONIC_ASCII_LETTERS,
         {"0": SMOOTH, ")": SMOOTH, "9": ROUGH, "(": ROUGH, "/": ACUTE, "&": ACUTE, "\\": GRAVE, "_": GRAVE, "=": CIRC, "~": CIRC, "|": IOTA, "+": DIAER, '"': DIAER,
          "1": SMOOTH + ACUTE, "!": SMOOTH + ACUTE, "2": SMOOTH + GRAVE, "@": SMOOTH + GRAVE, "]": SMOOTH + CIRC, "}": SMOOTH + CIRC, "3": ROUGH + ACUTE, "#": ROUGH + ACUTE,
          "4": ROUGH + GRAVE, "$": ROUGH + GRAVE, "[": ROUGH + CIRC, "{": ROUGH + CIRC, "5": DIAER + ACUTE, "%": DIAER + ACUTE, "6": DIAER + GRAVE, "^": DIAER + GRAVE, "<": MACRON, ">": MACRON},

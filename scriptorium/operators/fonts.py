@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keytables import BY_ID, ENCODINGS, font_prefixes
+from ..functions.keytables import BY_ID, ENCODINGS
 
 
 def strip_subset(font: Column) -> Column:
@@ -15,11 +15,17 @@ def strip_subset(font: Column) -> Column:
     return F.when(tagged, F.substr(font, F.lit(8))).otherwise(font)
 
 
+def table_of(font: Column) -> Column:
+    """The table of a font: the longest prefix wins, then registry order; null for an unknown font."""
+    out, name = F.lit(None).cast("string"), strip_subset(font)
+    for prefix, table_id in sorted(((p, e.table_id) for e in ENCODINGS for p in e.prefixes), key=lambda x: len(x[0])):
+        out = F.when(F.startswith(name, F.lit(prefix)), table_id).otherwise(out)
+    return out
+
+
 def match(fonts: DataFrame) -> DataFrame:
-    """font, table_id of every distinct font: the longest prefix wins, then registry order."""
-    f = fonts.select("font").distinct().withColumn("name", strip_subset(F.col("font")))
-    hits = f.join(F.broadcast(font_prefixes(fonts.sparkSession)), F.expr("startswith(name, prefix)"), "left")  # ten prefixes
-    return hits.groupBy("font").agg(F.max_by("table_id", F.struct(F.length("prefix"), -F.col("reg_order"))).alias("table_id"))
+    """font, table_id of every distinct font."""
+    return fonts.select("font").distinct().withColumn("table_id", table_of(F.col("font")))
 
 
 def cid_text(text: Column) -> Column:
@@ -58,7 +64,7 @@ def family_lines(run_rows: DataFrame) -> DataFrame:
 
     A run in an unknown font leaves a space in every family that the line has opened before it."""
     line = ["doc_id", "page_no", "line_no"]
-    known = run_rows.join(F.broadcast(match(run_rows)), "font", "left")
+    known = run_rows.withColumn("table_id", table_of(F.col("font")))
     shifted = F.col("text")
     for e in ENCODINGS:
         if e.accent_fonts:
@@ -73,8 +79,12 @@ def family_lines(run_rows: DataFrame) -> DataFrame:
 
 def census(run_rows: DataFrame, pages: int = 20) -> DataFrame:
     """font, n_chars of the known legacy fonts in the first pages."""
-    r = run_rows.where(F.col("page_no") < pages).groupBy("font").agg(F.sum(F.length("text")).alias("n_chars"))
-    return r.join(match(r).where("table_id is not null").select("font"), "font", "left_semi")
+    return run_rows.where((F.col("page_no") < pages) & table_of(F.col("font")).isNotNull()).groupBy("font").agg(F.sum(F.length("text")).alias("n_chars"))
+
+
+def fonts_by_count(counts: DataFrame) -> DataFrame:
+    """font, n_chars of a census, the most used first, then by name."""
+    return counts.orderBy(F.desc("n_chars"), "font")
 
 
 def pitch(lines: DataFrame) -> DataFrame:

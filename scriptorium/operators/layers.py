@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .decode import decode_tokens, nfc
-from .fonts import match, pitch
+from .fonts import pitch, table_of
 
 PAGE = ["doc_id", "page_no"]
 BLANK = T.SPACE + r"\x0B\f\x1C-\x1F\x{0085}\x{1680}\x{2028}\x{2029}"
@@ -124,7 +124,7 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     g = g.withColumn("run", F.sum(F.when(F.col("font").eqNullSafe(F.lag("font").over(w)), 0).otherwise(1)).over(w))
     runs = g.groupBy(*line, "run", "font").agg(joined(F.array_sort(F.collect_list(F.struct("i", "text")))).alias("text"))
     c = runs.select(*line, "run", "font", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{BLANK}]+|[^{BLANK}]+"), F.lit(0))).alias("c", "token"))
-    c = c.join(F.broadcast(match(runs.where("font is not null"))), "font", "left")  # distinct font names
+    c = c.withColumn("table_id", table_of(F.col("font")))
     legacy = F.col("table_id").isNotNull() & ~F.col("token").rlike(f"^[{BLANK}]")
     done = decode_tokens(c.where(legacy), passthrough=False).select(*line, "run", "c", "text")
     parts = done.union(c.where(~legacy).select(*line, "run", "c", F.col("token").alias("text")))
@@ -234,5 +234,11 @@ def bands(lines: DataFrame) -> DataFrame:
     )
 
 
+def has_legacy_greek(glyphs: DataFrame) -> DataFrame:
+    """doc_id, page_no, has_legacy_greek: whether a page has a glyph in a known legacy font."""
+    known = table_of(F.element_at(F.split("font", r"\+"), -1)).isNotNull() & (F.col("kind") == "char")
+    return glyphs.groupBy(*PAGE).agg(F.coalesce(F.bool_or(known), F.lit(False)).alias("has_legacy_greek"))
+
+
 def classify(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     return bands(decode_lines(physical_lines(glyphs, pages)))

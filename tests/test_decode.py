@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from scriptorium.functions import text as T
 from scriptorium.functions.keytables import BY_ID, ENCODINGS
 from scriptorium.operators.decode import decode_distinct, decode_text
 
+# Words in the keys of their fonts, and what they read.
 GOLDEN = {
     "graeca": {"Peripatou'ntiv": "Περιπατοῦντί", "e{wqen": "ἕωθεν", "ejn": "ἐν", "toi'\"": "τοῖς", "aujtw'/": "αὐτῷ", "oiJ": "οἱ", "fivloi": "φίλοι", "jEdidavcqhn": "Ἐδιδάχθην", "[Argei": "Ἄργει", "ou\\n": "οὖν", "kai;": "καὶ", "d!": "δ’", "Truvfwn": "Τρύφων", "yuchvn": "ψυχήν", "ejxei'pen": "ἐξεῖπεν", "cai're": "χαῖρε", "JHsai?a\"": "Ἡσαΐας", "Daui?d": "Δαυΐδ", "prwi?": "πρωΐ"},
     "bwgrkl": {"pi,stij": "πίστις", "qeou/": "θεοῦ", "pro.j": "πρὸς", "evleuqeri,a": "ἐλευθερία", "ca,rij": "χάρις", "kai,": "καί", "o`": "ὁ", "VIhsou/": "Ἰησοῦ", "avllV": "ἀλλ’", "qeou/.": "θεοῦ."},
@@ -16,45 +18,39 @@ GOLDEN = {
 }
 
 
-def left_to_right(e, token):
-    """A word read one character at a time, to hold the windows against."""
-    units, waiting = [], []
-    base = lambda u: unicodedata.normalize("NFD", u["t"])[:1].lower()
-    new = lambda t, src, **k: units.append({"t": t, "m": [], "l": False, "s": src, "ok": True} | k)
-    for i, ch in enumerate(token):
-        last = i == len(token) - 1
-        out = e.letters.get(ch) or (e.final_letter.get(ch) if last else None)
-        if out:
-            new(out, ch + "".join(c for _, c in waiting), l=True, m=[m for ms, _ in waiting for m in ms])
-            waiting = []
-        elif ch in e.final_letter:
-            new("", ch)
-        elif ch in e.marks:
-            prev_vowel = bool(units) and units[-1]["l"] and base(units[-1]) in "αεηιουω"
-            if last and ch in e.final_apostrophe and units and units[-1]["l"] and not prev_vowel:
-                new("’", ch)
-            elif last and ch in e.final_punct and (not prev_vowel or any(m in "\u0300\u0301\u0342" for u in units for m in u["m"])):
-                new(e.final_punct[ch], ch)
-            else:
-                rough = set(e.marks[ch]) <= set("\u0313\u0314")
-                to = next((u for u in reversed(units) if u["l"] and (base(u) in "αεηιουω" or rough and base(u) == "ρ")), None)
-                if to is None:
-                    waiting.append((e.marks[ch], ch))
-                else:
-                    to["m"] += [m for m in e.marks[ch] if m not in to["m"]]
-                    to["s"] += ch
-        elif ch in e.literals:
-            new(e.literals[ch], ch)
-        else:
-            new(ch, ch, ok=False)
-    if waiting:
-        new("".join(m for m, _ in waiting), "".join(c for _, c in waiting), ok=False)
-    seg = [unicodedata.normalize("NFC", u["t"] + "".join(u["m"])) for u in units]
-    text = unicodedata.normalize("NFC", "".join(seg))
-    k = len(text.rstrip("’·.,;·"))
-    if text[:k].endswith("σ"):
-        text = text[: k - 1] + "ς" + text[k:]
-    return text, [(s, u["s"], u["ok"]) for s, u in zip(seg, units, strict=True)]
+def by_positions(e, token):
+    """(text, records) of a word: for every position of it, where its character goes, found by scanning the others."""
+    n = len(token)
+    letter = {i: c for i, k in enumerate(token) if (c := e.letters.get(k) or (e.final_letter.get(k) if i == n - 1 else None))}
+    base = {i: unicodedata.normalize("NFD", c)[0].lower() for i, c in letter.items()}
+    is_mark = [k in e.marks and i not in letter and k not in e.final_letter for i, k in enumerate(token)]
+
+    def home(i):
+        carries = "αεηιουω" + ("ρ" if set(e.marks[token[i]]) <= {"\u0313", "\u0314"} else "")
+        behind = [j for j in letter if j < i and base[j] in carries]
+        return max(behind) if behind else min((j for j in letter if j > i), default=n)
+
+    end, sign = n - 1, None
+    before = max((j for j in range(end) if not is_mark[j]), default=None)
+    vowel = before in letter and base[before] in "αεηιουω"
+    if is_mark[end] and token[end] in e.final_apostrophe and before in letter and not vowel:
+        sign = "’"
+    elif is_mark[end] and token[end] in e.final_punct:
+        accents = [j for j in range(end) if is_mark[j] and set(e.marks[token[j]]) & set("\u0300\u0301\u0342") and home(j) < end]
+        sign = e.final_punct[token[end]] if accents or not vowel else None
+    moved = {i: home(i) for i in range(n) if is_mark[i] and not (sign and i == end)}
+    records = []
+    for at in [i for i in range(n) if i not in moved] + [n] * (n in moved.values()):
+        body = "" if at == n else letter.get(at) or (sign if sign and at == end else e.literals.get(token[at], "" if token[at] in e.final_letter else token[at]))
+        early, late = ([i for i in sorted(moved) if moved[i] == at and (i < at) == first] for first in (True, False))
+        marks = [m for i in early for m in e.marks[token[i]]]
+        for m in (m for i in late for m in e.marks[token[i]]):
+            marks += [m] * (m not in marks)
+        known = at < n and (at in letter or is_mark[at] or token[at] in e.literals or token[at] in e.final_letter)
+        records.append((unicodedata.normalize("NFC", body + "".join(marks)), "".join(token[i] for i in [at] * (at < n) + early + late), known))
+    text = unicodedata.normalize("NFC", "".join(r[0] for r in records))
+    word, tail = (lambda m: (m[1], m[2]))(re.fullmatch("(.*?)([’·.,;·]*)", text, re.S))
+    return (word[:-1] + "ς" if word.endswith("σ") else word) + tail, records
 
 
 def decoded(spark, rows):
@@ -68,7 +64,7 @@ def test_golden_words(spark):
     assert not any(r["unmapped"] for k, r in got.items())
 
 
-def test_windows_agree_with_reading_left_to_right(spark):
+def test_kernel_agrees_with_scanning_positions(spark):
     rng = random.Random(5)
     words = []
     for e in ENCODINGS:
@@ -76,7 +72,7 @@ def test_windows_agree_with_reading_left_to_right(spark):
         words += [(e.table_id, "".join(rng.choice(keys) for _ in range(rng.randint(1, 12)))) for _ in range(150)]
     got = decoded(spark, words)
     for t, w in set(words):
-        text, records = left_to_right(BY_ID[t], w)
+        text, records = by_positions(BY_ID[t], w)
         r = got[t, w]
         assert (r["text"], [(x["output"], x["source"], x["mapped"]) for x in r["records"]]) == (text, records), (t, w)
 

@@ -3,12 +3,14 @@ import pytest
 from scriptorium.operators import layers
 
 GREEK, LATIN = "GFDJFH+Graeca", "Garamond"
-VERSE = "kai; ejn toi'\" lovgoi\" aujtou'"
-PROSE = "and in his words he spoke to them all at once"
+VERSE = "oiJ fivloi kai; yuchvn ejxei'pen"
+PROSE = "the old road winds down among pines to the harbour"
+NOTE = "7 yuchvn ] thumon cod. Parmensis, uel animam"
+W, H, LEFT = 480.0, 700.0, 60.0
 SCHEMA = "doc_id long, page_no int, box_no int, line_no int, glyph_no int, kind string, text string, font string, size double, x0 double, x1 double, y0 double, y1 double, skew double"
 
 
-def row(text, y, size=10.0, font=LATIN, x=133.0, skew=0.0):
+def row(text, y, size=10.5, font=LATIN, x=LEFT, skew=0.0):
     return [(text, font)], y, size, x, skew
 
 
@@ -17,29 +19,31 @@ def stack(n, y, step, text, size, font=LATIN):
 
 
 def greek_page():
-    return [row("Head of the page", 661, 9.0, x=262.0), *stack(12, 626, 12, VERSE, 10.0, GREEK), *stack(4, 626 - 144 - 17, 10, "3 kai; : om. codd. prop. Otto", 8.0), row("294", 141, x=290.0)]
+    return [row("Of the islands", 640, 9.0, x=190.0), *stack(10, 600, 13, VERSE, 11.0, GREEK), *stack(3, 467, 10, NOTE, 8.5), row("58", 80, x=233.0)]
 
 
 def translation_page():
-    body = stack(4, 625, 12, PROSE, 11.0)
-    second = stack(6, 577 - 14 - 40, 12, PROSE, 11.0)
-    return [row("Head", 661, 9.0, x=211.0), *body, row("A heading here", 563, 11.0, "Garamond-Italic", 199.0), *second, row("One note only of the page", 523 - 72 - 19, 9.0), row("295", 141, x=290.0)]
+    body, second = stack(5, 600, 13, PROSE, 10.5), stack(6, 499, 13, PROSE, 10.5)
+    return [row("Of the islands", 640, 9.0, x=190.0), *body, row("The second voyage", 521, 10.5, "Garamond-Italic", 150.0), *second, row("A single note stands here", 404, 8.5), row("59", 80, x=233.0)]
 
 
 CASES = {
     1: greek_page(),
     2: translation_page(),
-    3: [*stack(2, 600, 12, VERSE, 10.0, GREEK), ([("kai; ejn ", GREEK), ("[fol. 94 v° : A]  ", LATIN), ("toi'\"", GREEK)], 576, 10.0, 133.0, 0.0), *stack(3, 564, 12, VERSE, 10.0, GREEK)],
-    4: [row(VERSE, 600 - 12 * k, 10.0, GREEK, 250.0 if k == 4 else 133.0) for k in range(8)],
-    5: [row("The title of it", 790, x=200.0), row("225", 789, x=420.0), *stack(8, 700, 12, PROSE, 10.0)],
-    6: [row("lovgoi\"", 686, 10.0, GREEK, 178.0), row("kai; ejn", 686.4, 10.0, GREEK, 133.0)],
-    7: [*translation_page(), row("D", 560, 150.0, skew=0.71)],
-    8: [*greek_page(), row("i", 830, x=24.0), row("i", 6, x=24.0), row("Uc", 448, 8.0, x=50.0)],
-    9: [*stack(4, 700, 12, PROSE, 10.0), *stack(3, 643.5, 10, "a note of the page below", 8.0)],
-    10: [row("a note of the page", 112, 8.0), row("3", 106, x=290.0), row("another note of it", 100, 8.0)],
-    11: [row("It ends the section 2.", 700, 10.0, GREEK), *stack(2, 640, 12, "a note of the page below", 8.5)],
-    12: [row("A title of one line here", 700, 11.0), *stack(10, 676, 12, PROSE, 10.0), *stack(5, 556 - 45, 10, "a note of the page below", 8.0)],
-    13: [*stack(6, 600, 12, PROSE, 10.0), row(". . . . .", 141)],
+    3: [*stack(2, 600, 13, VERSE, 11.0, GREEK), ([("oiJ kai; ", GREEK), ("[p. 112]  ", LATIN), ("fivloi", GREEK)], 574, 11.0, LEFT, 0.0), *stack(3, 561, 13, VERSE, 11.0, GREEK)],
+    4: [row(VERSE, 600 - 13 * k, 11.0, GREEK, 150.0 if k == 5 else LEFT) for k in range(9)],
+    5: [row("A book of roads", 660, x=150.0), row("31", 659, x=380.0), *stack(8, 590, 13, PROSE, 10.5)],
+    6: [row("fivloi", 600, 11.0, GREEK, 95.0), row("oiJ kai;", 600.5, 11.0, GREEK, 45.0)],
+    7: [*translation_page(), row("Q", 560, 150.0, skew=0.6)],
+    8: [*greek_page(), row("x", 690, x=20.0), row("x", 6, x=20.0), row("Zq", 400, 8.5, x=45.0)],
+    9: [*stack(4, 600, 13, PROSE, 10.5), *stack(3, 538.5, 10, "see the map of the coast", 8.5)],
+    10: [row("see the map", 100, 8.5), row("9", 94, x=235.0), row("and the index of names", 88, 8.5)],
+    11: [row("fivloi kai; yuchvn 4.", 600, 11.0, GREEK), *stack(2, 530, 12, "see the map of the coast", 8.5)],
+    12: [row("One line above them all", 640, 11.5), *stack(10, 610, 13, PROSE, 10.5), *stack(5, 453, 10, "see the map of the coast", 8.5)],
+    13: [*stack(6, 600, 13, PROSE, 10.5), row(". . . .", 80)],
+    14: [*stack(6, 600, 13, PROSE, 10.5), row("15", 561, x=25.0)],
+    15: [row(PROSE, 600), row("old road", 600, x=LEFT + 4 * 5.25), *stack(3, 587, 13, PROSE, 10.5)],
+    16: [row("first", 600), row("second", 600, x=LEFT + 5 * 5.25 + 6.0), row("third", 600, x=LEFT + 5 * 5.25 + 6.0 + 6 * 5.25 + 20.0)],
 }
 
 
@@ -58,7 +62,7 @@ def glyphs(spark):
 
 @pytest.fixture(scope="module")
 def sizes(spark):
-    return spark.createDataFrame([(d, 0, 595.0, 842.0) for d in CASES], "doc_id long, page_no int, width double, height double")
+    return spark.createDataFrame([(d, 0, W, H) for d in CASES], "doc_id long, page_no int, width double, height double")
 
 
 @pytest.fixture(scope="module")
@@ -76,36 +80,42 @@ def names(rows):
 def test_greek_page(pages):
     p = pages[1]
     assert names(p) == ["running_head", "page_number", "greek_text", "apparatus"]
-    assert [r.n_lines for r in p] == [1, 1, 12, 4] and {r.printed_page for r in p} == {"294"}
-    assert p[2].text.split("\n")[0] == "καὶ ἐν τοῖς λόγοις αὐτοῦ"
-    assert ["Otto" in r.text for r in p] == [False, False, False, True]
+    assert [r.n_lines for r in p] == [1, 1, 10, 3] and {r.printed_page for r in p} == {"58"}
+    assert p[2].text.split("\n")[0] == "οἱ φίλοι καὶ ψυχήν ἐξεῖπεν"
+    assert ["Parmensis" in r.text for r in p] == [False, False, False, True]
 
 
 def test_translation_page_with_heading(pages):
     assert names(pages[2]) == ["running_head", "page_number", "translation", "heading", "translation", "notes"]
-    assert names(pages[7]) == names(pages[2]) and not any("D" in r.text for r in pages[7])
+    assert names(pages[7]) == names(pages[2]) and not any("Q" in r.text for r in pages[7])
 
 
 def test_inline_reference(pages):
-    assert [r.inline_refs for r in pages[3] if r.layer == "greek_text"] == [["[fol. 94 v° : A]"]]
+    assert [r.inline_refs for r in pages[3] if r.layer == "greek_text"] == [["[p. 112]"]]
 
 
-def test_centred_body_is_no_heading(pages):
-    assert names(pages[4]) == ["greek_text"] and pages[4][0].n_lines == 8
+def test_indented_line_is_no_heading(pages):
+    assert names(pages[4]) == ["greek_text"] and pages[4][0].n_lines == 9
 
 
 def test_folios(pages):
-    assert pages[5][0].printed_page == "225"
+    assert pages[5][0].printed_page == "31"
     assert "page_number" not in names(pages[13])
 
 
 def test_fragments_join_in_order_of_x(pages):
-    assert [r.text for r in pages[6]] == ["καὶ ἐν λόγοις"]
+    assert [r.text for r in pages[6]] == ["οἱ καὶ φίλοι"]
 
 
-def test_crop_marks(pages):
+def test_crop_marks_and_counters(pages):
     words = "\n".join(r.text for r in pages[8]).split("\n")
-    assert "i" not in words and "Uc" in words
+    assert "x" not in words and "Zq" in words
+    assert "15" not in "\n".join(r.text for r in pages[14]).split("\n")
+
+
+def test_overlaid_copies_go_and_gaps_become_spaces(glyphs, sizes):
+    text = lambda doc: layers.physical_lines(glyphs.where(f"doc_id = {doc}"), sizes).orderBy("line_no").first().text
+    assert text(15) == PROSE and text(16) == "first second  third"
 
 
 def test_foot(pages):
@@ -116,7 +126,7 @@ def test_foot(pages):
 
 def test_folio_candidates_come_last(glyphs, sizes):
     rows = layers.physical_lines(glyphs.where("doc_id = 10"), sizes).orderBy("line_no").collect()
-    assert [r.text for r in rows] == ["a note of the page", "another note of it", "3"]
+    assert [r.text for r in rows] == ["see the map", "and the index of names", "9"]
 
 
 def test_empty(spark, glyphs, sizes):
