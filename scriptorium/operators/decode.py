@@ -32,7 +32,7 @@ SLICE = 1 << 20
 REMEMBERED = 1 << 17
 # What a caller is told.
 TRANSLITERATED = "almost no diacritic key codes in the input: this looks like plain Latin-alphabet text, and the output is most likely a transliteration artefact, not recovered Greek"
-REFUSED = "input does not look like legacy-encoded Greek: no (or almost no) diacritic key codes found — plain Latin-alphabet prose would be transliterated into pseudo-Greek, which this tool refuses to do. Pass encoding= explicitly if you are certain (see tables_by_id())."
+REFUSED = "input does not look like legacy-encoded Greek: no (or almost no) diacritic key codes found — plain Latin-alphabet prose would be transliterated into pseudo-Greek, which this tool refuses to do. Name the encoding if you are certain."
 
 
 @F.arrow_udf(StringType())

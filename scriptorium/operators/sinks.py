@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.keytables import ENCODINGS
 from .decode import decode_tokens
-from .fonts import family_lines
+from .fonts import family_lines, table_of
 
 PAGE = ["doc_id", "page_no"]
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -47,29 +47,54 @@ def _line_tokens(table_id: str) -> Column:
 
 
 def decode_pages(run_rows: DataFrame) -> DataFrame:
-    """doc_id, page_no, table_id, tok_no, token, text, unmapped, records, confidence of pages of font runs.
+    """doc_id, page_no, family_no, table_id, tok_no, token, text, unmapped, records, confidence of pages of font runs.
 
-    Lines are repaired and split within each font family of a page, families in registry order."""
-    fam = family_lines(run_rows).groupBy(*PAGE, "table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("ls"))
+    Lines are repaired and split within each font family of a page, families in the order in which they first appear."""
+    first = run_rows.withColumn("table_id", table_of(F.col("font"))).where("table_id is not null").groupBy(*PAGE, "table_id").agg(F.min(F.struct("line_no", "run_no")).alias("at"))
+    order = first.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("at", "table_id"))).alias("f")).select(*PAGE, F.posexplode("f").alias("family_no", "f")).select(*PAGE, "family_no", F.col("f.table_id"))
+    fam = family_lines(run_rows).groupBy(*PAGE, "table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("ls")).join(order, [*PAGE, "table_id"])
     toks = F.lit(None).cast("array<string>")
     for e in ENCODINGS:
         toks = F.when(F.col("table_id") == e.table_id, _line_tokens(e.table_id)).otherwise(toks)
-    return decode_tokens(fam.select(*PAGE, "table_id", F.posexplode(toks).alias("tok_no", "token")), passthrough=False)
+    return decode_tokens(fam.select(*PAGE, "family_no", "table_id", F.posexplode(toks).alias("tok_no", "token")), passthrough=False)
+
+
+def _ordered(tokens: DataFrame) -> DataFrame:
+    return tokens.withColumn("k", F.struct("family_no", "tok_no"))
 
 
 def page_tokens_json(tokens: DataFrame) -> DataFrame:
     """doc_id, page_no, json of decoded pages: every token with its least confidence."""
-    order = F.map_from_entries(F.array(*(F.struct(F.lit(e.table_id), F.lit(i)) for i, e in enumerate(ENCODINGS))))
-    tok = F.struct(F.col("token").alias("source"), "text", F.col("table_id").alias("encoding"), (F.size("unmapped") == 0).alias("fully_mapped"), "unmapped", "confidence")
-    rows = tokens.withColumn("k", F.struct(order[F.col("table_id")].alias("f"), "tok_no"))
-    return _listed(rows, "k", tok).select(*PAGE, F.to_json(F.struct(F.col("page_no").alias("page"), F.col("vs").alias("tokens")), KEEP_NULLS).alias("json"))
-
-
-def text_json(decoded: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """doc_id, json of decoded documents, with the five likeliest encodings if `scores` has them ranked."""
-    out = decoded.select("doc_id", F.col("table_id").alias("encoding"), "text", "fully_mapped", "unmapped_total")
-    if scores is not None:
-        hit = F.struct("rank", F.struct("table_id", F.bround("score", 4).alias("score")).alias("v"))
-        top = scores.where("rank <= 5").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["v"]).alias("detection"))
-        out = out.join(top, "doc_id", "left")
-    return out.select("doc_id", F.to_json(F.struct(*[c for c in out.columns if c != "doc_id"]), KEEP_NULLS).alias("json"))
+    font = F.create_map(*(F.lit(v) for e in ENCODINGS for v in (e.table_id, e.font)))
+    tok = F.struct(F.col("token").alias("source"), "text", font[F.col("table_id")].alias("font"), (F.size("unmapped") == 0).alias("fully_mapped"), "unmapped", "confidence")
+    return _listed(_ordered(tokens), "k", tok).select(*PAGE, F.to_json(F.struct(F.col("page_no").alias("page"), F.col("vs").alias("tokens")), KEEP_NULLS).alias("json"))
+
+
+def page_text(tokens: DataFrame) -> DataFrame:
+    """doc_id, page_no, text of decoded pages: a heading line and the words."""
+    return _listed(_ordered(tokens), "k", F.col("text")).select(*PAGE, F.concat(F.lit("--- page "), F.col("page_no").cast("string"), F.lit("\n"), F.array_join("vs", " ")).alias("text"))
+
+
+def token_warnings(tokens: DataFrame) -> DataFrame:
+    """doc_id, page_no, n, first of the pages with unmapped codes: how many tokens have some, and the first ten."""
+    return _listed(_ordered(tokens).where(F.size("unmapped") > 0), "k", F.col("token"), F.count("*").alias("n")).select(*PAGE, "n", F.slice("vs", 1, 10).alias("first"))
+
+
+# What is said of a page.
+BLANK_PAGE = "no extractable text layer (blank page, or a scanned image without OCR)"
+RAW_CIDS = "this PDF's font has no usable character map — output contains raw (cid:N) glyph codes, not text, and cannot be decoded (no ToUnicode and no known table)"
+
+
+def page_warnings(bands: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, blank, raw_cids of every page: whether it has no bands, or glyph codes in its text."""
+    raw = F.bool_or(F.col("layer").isin("greek_text", "translation") & F.col("text").contains("(cid:"))
+    found = bands.groupBy(*PAGE).agg(raw.alias("raw_cids"), F.lit(False).alias("blank"))
+    return pages.select(*PAGE).distinct().join(found, PAGE, "left").select(*PAGE, F.coalesce("blank", F.lit(True)).alias("blank"), F.coalesce("raw_cids", F.lit(False)).alias("raw_cids"))
+
+
+def text_json(decoded: DataFrame) -> DataFrame:
+    """doc_id, json of decoded documents; those whose table was found have their five likeliest ones."""
+    out = decoded.select("doc_id", F.col("table_id").alias("encoding"), "text", "fully_mapped", "unmapped_total", *(["detection"] if "detection" in decoded.columns else []))
+    none = F.array().cast("array<struct<table_id:string,score:double>>")
+    top = F.transform(F.slice("detection", 1, 5), lambda s: F.struct(s["table_id"].alias("table_id"), F.round(s["score"], 4).alias("score"))) if "detection" in decoded.columns else none
+    return out.select("doc_id", F.to_json(F.struct("encoding", "text", "fully_mapped", "unmapped_total", top.alias("detection")), KEEP_NULLS).alias("json"))

@@ -66,6 +66,42 @@ def lines_sql(text: str) -> str:
     return f"CASE WHEN len({parts}) > 1 AND {parts}[-1] = '' THEN {parts}[:-2] ELSE {parts} END"
 
 
+def repair_sql(lines: str, marks: str) -> str:
+    """The repaired lines of a list of lines: a fold over the text made so far, which starts as chr(1)."""
+    blank = T.SPACE + r"\x0B\f\x1C-\x1F\x{0085}\x{1680}\x{2028}\x{2029}"
+    insert = "'([A-Za-z])-[ ]+-([A-Za-z])', '\\1\\2', 'g'"
+    x = f"regexp_replace(regexp_replace(x, {insert}), {insert})"
+    moved = f"regexp_extract({x}, {q(f'^([{T.char_class(marks)}]+)([{T.SPACE}]|$)')}, 1)"
+    moves = f"({moved} <> '' AND a <> chr(1) AND regexp_matches(regexp_extract(a, '[^\n]*$'), {q(f'[{T.WORD}]')}))"
+    text = f"CASE WHEN {moves} THEN regexp_replace(a, {q(f'[{blank}]+$')}, '') || {moved} ELSE a END"
+    rest = f"CASE WHEN {moves} THEN regexp_replace(substring({x}, length({moved}) + 1), {q(f'^[{blank}]+')}, '') ELSE {x} END"
+    step = f"""CASE WHEN a = chr(1) THEN {x} WHEN {moves} AND {rest} = '' THEN {text} WHEN ends_with({text}, '-') THEN regexp_replace({text}, '-$', '') || regexp_replace({rest}, '^-+', '')
+  ELSE ({text}) || chr(10) || ({rest}) END"""
+    return f"string_split(list_reduce(list_prepend(chr(1), {lines}), lambda a, x: {step}), chr(10))"
+
+
+def marks_of(table_id: str) -> str:
+    return "".join(K.BY_ID[table_id].marks)
+
+
+def text_sql(rows: str, tables: list[str]) -> str:
+    """CTEs that end in `texts` (r, text, n_words, unmapped_total, warned) for a query of (r, table_id, text) under any of `tables`."""
+    each = " UNION ALL ".join(f"SELECT r, table_id, {repair_sql(lines_sql('text'), marks_of(t))} AS l FROM raw WHERE table_id = {q(t)}" for t in tables)
+    toks = " ".join(f"WHEN {q(t)} THEN {tokens_sql('line', t)}" for t in tables)
+    coded = " ".join(f"WHEN {q(t)} THEN regexp_matches(token, {q('[' + T.char_class(marks_of(t)) + ']')})" for t in tables)
+    greek = q(f"[{T.GREEK}]")
+    return f"""raw AS ({rows}), ls AS ({each}),
+li AS (SELECT r, table_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM ls), tk AS (SELECT r, table_id, i, CASE table_id {toks} END AS ts FROM li),
+tt AS (SELECT r, table_id, i, unnest(range(len(ts))) AS p, unnest(ts) AS token FROM tk),
+{kernel_sql(f"SELECT table_id, token FROM tt WHERE NOT regexp_matches(token, {greek})")},
+wd AS (SELECT r, i, p, coalesce(d.text, nfc_normalize(t.token)) AS w, coalesce(n_unmapped, 0) AS lost, NOT regexp_matches(substring(t.token, 1, 1), {greek}) AS legacy, CASE t.table_id {coded.replace("token", "t.token")} END AS coded
+  FROM tt t LEFT JOIN decoded d ON t.table_id = d.table_id AND t.token = d.token),
+wl AS (SELECT r, i, trim(coalesce(string_agg(w, ' ' ORDER BY p) FILTER (WHERE w <> ''), '')) AS line, count(w) AS n, sum(lost) AS lost, count(*) FILTER (WHERE legacy) AS legacy, count(*) FILTER (WHERE legacy AND coded) AS coded
+  FROM li LEFT JOIN wd USING (r, i) GROUP BY r, i),
+texts AS (SELECT r, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS text, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(lost), 0) AS BIGINT) AS unmapped_total,
+  sum(legacy) > 0 AND sum(coded) < 0.05 * sum(legacy) AS warned FROM wl GROUP BY r)"""
+
+
 def docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,9 +139,26 @@ def records(spark, sf_dir):
     return decode.decode_distinct(t).select("token", F.posexplode("records").alias("pos", "r")).select("token", "pos", "r.*")
 
 
+RECORDS_SQL = f"""WITH rl AS (SELECT unnest({repair_sql(lines_sql("coalesce(text, '')"), marks_of("graeca"))}) AS line FROM benchmark), t AS (SELECT unnest({tokens_sql("line", "graeca")}) AS token FROM rl),
+{kernel_sql("SELECT 'graeca' AS table_id, token FROM t")},
+s AS (SELECT token, unit_no, string_agg(ch, '' ORDER BY is_mark, pos) AS source, bool_and(mapped) AS mapped FROM z3 GROUP BY ALL)
+SELECT token, CAST(row_number() OVER (PARTITION BY token ORDER BY unit_no) - 1 AS INTEGER) AS pos, seg AS output, source, mapped, CAST(conf AS DOUBLE) AS confidence FROM s JOIN v USING (token, unit_no)"""
+
+
 def decode_text_full(spark, sf_dir):
-    d = docs(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return decode.decode_text(d, "spionic-ascii")
+    """Every turn decoded under one table."""
+    d = decode.decode_rows(docs(spark, sf_dir, "conversations"), F.col("text"), F.lit("spionic-ascii"), ["conv_id", "turn"])
+    return d.select("conv_id", "turn", "text", "n_words", "unmapped_total", "fully_mapped", F.col("warning").isNotNull().alias("warned"))
+
+
+TEXT_SQL = f"""WITH n AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(text, '') AS text FROM conversations), {text_sql("SELECT r, 'spionic-ascii' AS table_id, text FROM n", ["spionic-ascii"])}
+SELECT conv_id, turn, t.text, n_words, unmapped_total, unmapped_total = 0 AS fully_mapped, warned FROM n JOIN texts t USING (r)"""
+
+
+def decode_text_auto(spark, sf_dir):
+    """Every document decoded under its likeliest table, or refused."""
+    d = decode.decode_text(docs(spark, sf_dir))
+    return d.select("doc_id", "table_id", F.round("score", 6).alias("score"), F.col("refusal").isNotNull().alias("refused"), F.md5("text").alias("digest"), "n_words", "unmapped_total", F.col("warning").isNotNull().alias("warned"))
 
 
 def font_match(spark, sf_dir):
@@ -144,6 +197,14 @@ BY_LANG_SQL = _score_sql() + f""", top AS (SELECT *, row_number() OVER (PARTITIO
 SELECT lang, table_id, score = 0 OR code_token_ratio < {detect.LEAST_CODED} AS refused, count(*) AS n FROM top JOIN documents USING (doc_id) WHERE rank = 1 GROUP BY ALL"""
 
 
+AUTO_SQL = f"""WITH n AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+best AS (SELECT r AS doc_id, table_id, score, score = 0 OR code_token_ratio < {detect.LEAST_CODED} AS refused FROM ({_score_sql().replace("SELECT doc_id, substring(coalesce(text, ''), 1, 4000) AS s FROM documents", "SELECT r AS doc_id, substring(text, 1, 4000) AS s FROM n")}
+  SELECT doc_id AS r, table_id, score, code_token_ratio, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, reg_order) AS rank FROM scored) WHERE rank = 1),
+{text_sql("SELECT n.r, table_id, text FROM n JOIN best ON n.r = best.doc_id WHERE NOT refused", TEXT_TABLES)}
+SELECT n.doc_id, CASE WHEN NOT refused THEN table_id END AS table_id, round(score, 6) AS score, refused, md5(t.text) AS digest, n_words, unmapped_total, coalesce(warned, false) AS warned
+FROM n JOIN best ON n.r = best.doc_id LEFT JOIN texts t ON n.r = t.r"""
+
+
 def validate_greek(spark, sf_dir):
     return docs(spark, sf_dir, "pages").select("page_id", T.greek_letters(F.col("html")).cast("long").alias("greek"), T.other_letters(F.col("html")).cast("long").alias("other"))
 
@@ -169,7 +230,7 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM e WHERE regexp_mat
 
 
 def _runs(spark, sf_dir) -> DataFrame:
-    """Every document as a page of font runs: each line's words alternate between two fonts."""
+    """Every benchmark text as a page of font runs: each line's words alternate between two fonts."""
     d = docs(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
     w = d.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("w", "word"))
     font = F.when((F.col("doc_id") + F.col("w")) % 3 == 0, "Garamond").when(F.col("doc_id") % 2 == 0, "GFDJFH+Graeca").otherwise("SPIonic")
@@ -197,6 +258,12 @@ def page_families(spark, sf_dir):
     return fonts.family_lines(_runs(spark, sf_dir))
 
 
+FAMILIES_SQL = _GLYPH_SQL + """, ru AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line_no ORDER BY w) AS run FROM n),
+f AS (SELECT doc_id, page_no, line_no, run, font, string_agg(word, '' ORDER BY w) AS text FROM ru GROUP BY ALL), o AS (SELECT doc_id, line_no, min(run) AS opened FROM f WHERE font <> 'Garamond' GROUP BY ALL),
+j AS (SELECT doc_id, page_no, line_no, trim(string_agg(CASE WHEN font = 'Garamond' THEN ' ' ELSE text END, '' ORDER BY run)) AS text FROM f JOIN o USING (doc_id, line_no) WHERE run >= opened GROUP BY ALL)
+SELECT doc_id, page_no, CASE WHEN doc_id % 2 = 0 THEN 'graeca' ELSE 'spionic-cid' END AS table_id, CAST(line_no AS INTEGER) AS line_no, text FROM j WHERE text <> ''"""
+
+
 def page_pitch(spark, sf_dir):
     """Synthetic baselines: a line every 12 points, with a wider gap after every seventh."""
     d = docs(spark, sf_dir).select("doc_id", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
@@ -256,7 +323,21 @@ def page_tokens_json(spark, sf_dir):
 
 
 def text_json(spark, sf_dir):
-    return sinks.text_json(decode_text_full(spark, sf_dir))
+    """Every turn as JSON, under its likeliest table."""
+    d = docs(spark, sf_dir, "conversations").select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("doc_id"), "text")
+    return sinks.text_json(decode.decode_text(d))
+
+
+def page_text(spark, sf_dir):
+    return sinks.page_text(sinks.decode_pages(_runs(spark, sf_dir)))
+
+
+def page_has_greek(spark, sf_dir):
+    return layers.has_legacy_greek(_pages(spark, sf_dir)[0])
+
+
+HAS_GREEK_SQL = """WITH w AS (SELECT item_id AS doc_id, string_split_regex(coalesce(text, ''), '\\s+') AS ws FROM benchmark)
+SELECT DISTINCT doc_id, CAST(unnest(range(len(ws))) // 256 AS INTEGER) AS page_no, doc_id % 3 = 0 AS has_legacy_greek FROM w"""
 
 
 def encodings_dim(spark, sf_dir):
@@ -272,13 +353,18 @@ def repair_lines(spark, sf_dir):
     return d.select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
+REPAIR_SQL = f"""WITH l AS (SELECT doc_id, {repair_sql(lines_sql("coalesce(text, '')"), marks_of("bwgrkl"))} AS l FROM documents)
+SELECT doc_id, CAST(len(l) AS INTEGER) AS n_lines, md5(array_to_string(l, chr(10))) AS digest FROM l"""
+
 QUERIES = {
+    "decode_text_auto": decode_text_auto, "page_text": page_text, "page_has_greek": page_has_greek,
     "font_match": font_match, "encodings_dim": encodings_dim, "keymap_profile": keymap_profile, "decode_words_golden": golden, "decode_records": records, "decode_text_full": decode_text_full,
     "detect_scores": detect_scores, "detect_refusal_by_lang": detect_by_lang, "validate_greek": validate_greek, "line_tests": line_tests, "digits_only_lines": digits_only_lines, "runs_from_glyphs": font_runs,
     "font_census": font_census, "page_families": page_families, "page_pitch": page_pitch, "repair_lines": repair_lines,
     "physical_lines": physical_lines, "page_bands": page_bands, "page_json": page_json, "page_markdown": page_markdown, "layer_text": layer_text, "page_tokens_json": page_tokens_json, "text_json": text_json,
 }
 SQL = {
+    "decode_records": RECORDS_SQL, "decode_text_full": TEXT_SQL, "decode_text_auto": AUTO_SQL, "repair_lines": REPAIR_SQL, "page_families": FAMILIES_SQL, "page_has_greek": HAS_GREEK_SQL,
     "font_match": FONT_SQL, "decode_words_golden": f"WITH {kernel_sql('SELECT * FROM ' + values(WORDS, 'table_id, token'))} SELECT * FROM decoded",
     "encodings_dim": "SELECT table_id, font, cid, CAST(n_letters AS INTEGER) AS n_letters, CAST(n_codes AS INTEGER) AS n_codes FROM " + values([(e.table_id, e.font, e.cid, len(e.letters), len(e.marks) + len(e.literals) + len(e.final_letter)) for e in K.ENCODINGS], "table_id, font, cid, n_letters, n_codes"),
     "keymap_profile": f"SELECT table_id, kind, count(*) AS n, round(avg(CAST(conf AS DOUBLE)), 6) AS conf FROM {values(K.keymap_rows(), KEYMAP_COLS)} GROUP BY ALL",
