@@ -116,8 +116,10 @@ def sum_arrays(df: DataFrame, count, n_values: int, dtype: str = "<i8", chunk: i
     return out
 
 
-def chunks_of(total: np.ndarray, chunk: int = 65536) -> pa.RecordBatch:
-    """The non-zero chunks of one task's integer array, for `sum_arrays`."""
+def chunks_of(total: np.ndarray, chunk: int = 65536, together: int = 8):
+    """The non-zero chunks of one task's integer array, for `sum_arrays`, a few in each batch."""
     flat = total.ravel().astype("<i8", copy=False)
     keep = [k for k in range(0, len(flat), chunk) if flat[k : k + chunk].any()]
-    return pa.RecordBatch.from_pydict({"chunk": pa.array([k // chunk for k in keep], pa.int32()), "body": pa.array([flat[k : k + chunk].tobytes() for k in keep], pa.binary())})
+    for i in range(0, len(keep), together):
+        some = keep[i : i + together]
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // chunk for k in some], pa.int32()), "body": pa.array([flat[k : k + chunk].tobytes() for k in some], pa.binary())})

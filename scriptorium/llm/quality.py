@@ -49,7 +49,7 @@ def _cooccurrence(batches):
                 for one, other in ((x, y), (y, x)):
                     total += np.bincount((one[:, None] * DIM + at[other]).ravel(), minlength=2 * size)
     total = total[:size] - total[size:]
-    yield chunks_of(total)
+    yield from chunks_of(total)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
