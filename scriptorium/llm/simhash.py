@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table, texts
+from .common import materialise, parts, small_batches, table, texts
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, width) from the high bits down
 _GENERATOR = 0xAE3  # of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
+#: A fingerprint with more than one of so many shares of all rows is split when rows are named.
+SHARES = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -200,13 +202,20 @@ def groups(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
 
     `component` is the smallest fingerprint of the group, and tells groups without an id apart."""
     fps = materialise(fingerprints(docs, columns), "fingerprints")
-    once = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    once = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     links = once.select("fp").mapInArrow(_keyed, "key long, fp long").repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(_linked, "a long, b long")
     c = components(links)
     # only fingerprints with a near neighbour have a component of their own to look up
     part = c.join(once, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first").alias("component_id"))
-    named = once.join(c, F.col("fp") == F.col("node"), "left").join(part, "component", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component", *columns)
+    named = once.join(c, F.col("fp") == F.col("node"), "left").join(part, "component", "left")
+    # rows of a fingerprint that has many meet its name in several tasks
+    each = parts(fps.count(), SHARES)
+    pieces = F.ceil(F.col("copies") / each)
+    named = named.select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("__piece"))
+    split = once.where(F.col("copies") > each).select("fp", pieces.alias("__pieces"))  # fewer than SHARES rows
+    rows = fps.withColumn("__number", F.monotonically_increasing_id()).join(F.broadcast(split), "fp", "left")
+    rows = rows.withColumn("__piece", F.pmod(F.col("__number"), F.coalesce("__pieces", F.lit(1).cast("long"))))
+    return rows.join(named, ["fp", "__piece"]).select("doc_id", "fp", "component_id", "component", *columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,16 @@ def test_simhash_groups(spark):
     assert simhash.groups(empty(d)).count() == 0
 
 
+def test_simhash_names_every_row_of_a_frequent_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARES", 8)
+    rows = [(i if i % 3 else None, "one and the same text" if i % 2 else f"another text {i} of {i * i} words") for i in range(400)]
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = simhash.fingerprint([t.encode() for _, t in rows]).view(np.int64).tolist()
+    assert Counter((r["doc_id"], r["fp"]) for r in got) == Counter(zip((i for i, _ in rows), want, strict=True))
+    same = [r for r in got if r["fp"] == want[1]]
+    assert len(same) >= 200 and {r["component_id"] for r in same} == {1}
+
+
 def vectors(spark, n=400):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
