@@ -49,6 +49,29 @@ def test_mixing_by_own_shares_has_no_cap(spark):
     assert mixing.whole({"a": 10**9, "b": 1}, mixing.BLOCK)[1][-1][3] < 10**9 + 1
 
 
+def test_mixing_has_one_size_of_blocks_whatever_the_table(spark):
+    block, runs = mixing.whole({"a": 6_000_000, "b": 2_000_000}, mixing.BLOCK)
+    assert block == mixing.BLOCK and sum(r[-1] for r in runs) == 1_000_000
+    d = spark.range(300_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as source")
+    rows = {r["position"]: r["source"] for r in mixing.mix(d).collect()}
+    assert sorted(rows) == list(range(300_000))
+    got = "".join(rows[i] for i in range(300_000))
+    assert all(abs(got.count("a", 0, n) - n / 3) < mixing.BLOCK for n in range(0, 300_000, 1117)) and "a" * 17 not in got
+
+
+def test_runs_are_the_earliest_deadlines_slot_by_slot():
+    rng = random.Random(8)
+    for _ in range(200):
+        slots = {f"s{i}": rng.choice((1, 2, 5, 40, 300)) for i in range(rng.randint(1, 6))}
+        period = sum(slots.values())
+        done, want = dict.fromkeys(slots, 0), []
+        for t in range(period):
+            ready = [(-(-(k + 1) * period // slots[s]), s) for s, k in done.items() if k < slots[s] and k * period // slots[s] <= t]
+            want.append((min(ready)[1], done[min(ready)[1]], t))
+            done[min(ready)[1]] += 1
+        assert mixing.period_of(slots, period) == want
+
+
 def test_near_duplicates_keeps_one_row_of_each_group(spark):
     rng = random.Random(5)
     text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
