@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage reads the documents that the one before kept, as Parquet in the shared folder.
+Each stage reads the documents that the one before kept, as Parquet in the shared folder. Source
+mixing gives them an order, which is that of its files and of the rows in them; packing goes by
+it, so that sequences in the order of their numbers hold the sources in their shares.
 
 Every stage works on rows, not ids: rows with one id, or none, stay documents each, and where
 stages drop some they drop rows. A null text is empty: the quality classifier scores it like any
@@ -19,6 +21,8 @@ from scriptorium.llm.common import Scratch, discard, materialise, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose pooled probability of their likeliest language is lower are rejected.
 LEAST_LANGUAGE = 0.3
+#: Documents of the mix, one after another, that packing may put in another order.
+WINDOW = 1024
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +55,25 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col("__source").alias(c) if c == "source" else c for c in COLUMNS))
 
 
+def windows(docs: DataFrame) -> DataFrame:
+    """`docs` with __part, __piece and __window, by which they are in the order in which they were written.
+
+    Readers deal files to tasks by size, so that only a file's numbers and a row's place in it
+    tell that order; rows that were not just read from files are in the order of their partitions."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+        part, piece, row = number(r"^part-(\d+)"), number(r"-c(\d+)\."), F.col("_metadata.row_index")
+    else:
+        n = F.monotonically_increasing_id()
+        part, piece, row = F.shiftright(n, 33), F.lit(0), n.bitwiseAND(F.lit((1 << 33) - 1))
+    return docs.select("doc_id", "text", part.alias("__part"), piece.alias("__piece"), F.floor(row / WINDOW).alias("__window"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1,024 ids: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    """Sequences of 1,024 ids, in the order of the mix: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(windows(docs), public_tokenizers.path("byte_bpe_50k.json"), windows=("__part", "__piece", "__window"))
 
 
 STAGES = [

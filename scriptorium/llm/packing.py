@@ -6,6 +6,10 @@ that key (with a hash of the id, so that many copies of one text spread over tas
 each range is tokenised and cut into sequences of 1,024 as it streams by. What is left at
 the end of a range is cut into powers of two, which are not padded: no id is padding.
 
+Documents that come in an order of their own, such as a mix of sources, keep it: the curve
+then runs anew through each window of that order, windows follow each other, and so do the
+numbers of their sequences.
+
 Defined cases: a null or empty text is the single id 0 (the end mark); a null doc_id keeps
 its null; repeated rows are packed each; an empty table gives no rows; extra columns are not
 read."""
@@ -151,17 +155,18 @@ def _pieces(held: list[tuple], length: int):
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, windows: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
-    `vocabulary` is the path of the tokenizer file, read on the driver only."""
+    `vocabulary` is the path of the tokenizer file, read on the driver only. `windows` are long
+    columns: rows equal in them are a window, and windows are packed in their order."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary))  # of the file's size
 
     def keyed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(curve_keys(texts(b)))], ["doc_id", "text", "key"])
+            yield b.append_column("key", pa.array(curve_keys(texts(b))))
 
     def cut(batches):
         encode = Encoder(*shared.value)
@@ -208,13 +213,15 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
         if rows:
             yield batch(rows)
 
-    key = docs.select("doc_id", "text").mapInArrow(keyed, "doc_id long, text string, key long")
+    at = [f"window{i}" for i in range(len(windows))]
+    d = docs.select("doc_id", "text", *(F.col(c).cast("long").alias(a) for c, a in zip(windows, at, strict=True)))
+    key = d.mapInArrow(keyed, ", ".join(["doc_id long, text string", *(f"{a} long" for a in at), "key long"]))
     # ranges of a bounded size; rows of one key, id and text differ by a number, and are alike
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(spark.sparkContext.defaultParallelism, -(-size // RANGE))
     ties = [F.xxhash64("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
     key = key.select("*", *(t.alias(f"tie{i}") for i, t in enumerate(ties)))
-    by = ["key", "tie0", "tie1", "tie2"]
+    by = [*at, "key", "tie0", "tie1", "tie2"]
     order = key.repartitionByRange(n, *by).sortWithinPartitions(*by)
     return order.select("doc_id", "text").mapInArrow(cut, SCHEMA)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptorium.llm import mixing, packing, registry
+from scriptorium.llm.common import materialise
 
 P = pytest.importorskip("public_tokenizers")
 EN, DE = "the of and that with thing onion ration because under".split(), "der und ist nicht über schön keit ung weil unter".split()
@@ -59,6 +60,28 @@ def test_run_packs_what_the_stages_kept(spark, folder):
     assert all(n == 1024 or n & (n - 1) == 0 for n in sequences.values())
 
 
+def test_packing_goes_by_the_order_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "WINDOW", 20)
+    rng = random.Random(3)
+    # unlike texts, which the curve sets apart, and files of unlike sizes, which a reader takes out of order
+    rows = [(i, " ".join(rng.choice(DE if i % 3 else EN) for _ in range(rng.randint(100, 300))), "x", "de" if i % 3 else "en", 1) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = materialise(corpus_pipeline.source_mix(spark, d, "").coalesce(3))
+    order = {r[0]: i for i, r in enumerate(sorted(mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect(), key=lambda r: (r[1], r[2])))}
+    position = {r["doc_id"]: r["position"] for r in mixing.mix(d).collect()}
+    assert all(position[a] < position[b] for a, b in zip(list(order)[:-1], list(order)[1:], strict=True))
+    for docs in (mixed, mixed.select("*")):  # from files, and from a plan
+        got = sorted(corpus_pipeline.packed(spark, docs, "").collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+        assert {r["doc_id"] for r in got} == set(order)
+        for n in range(100, len(got), 100):
+            share = sum(r["doc_id"] % 3 == 0 for r in got[:n]) / n
+            assert abs(share - 1 / 3) < 0.12
+        if docs is mixed:
+            firsts = [order[r["doc_id"]] for r in got if r["start"] == 0]
+            ends = sorted(firsts)
+            assert all(abs(a - b) <= 40 for a, b in zip(firsts, ends, strict=True))
+
+
 def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
