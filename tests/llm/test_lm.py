@@ -90,3 +90,104 @@ def test_blocks_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", 100)
     b = batch([(0, t, True) for t in ("x" * 40, None, "y" * 40, "z" * 400, "", "w")]).rename_columns(["part", "doc_id", "text", "held_out", "learn"])
     assert next(lm._numbered([b])).column("blk").to_pylist() == [0, 0, 0, 1, 2, 2]
+
+
+def running(text):
+    """(decisions before, byte) of every byte of a text, read plainly, with its tables' slots."""
+    stream = lm.START + b" "
+    for w in [*lm.words_of(text), None]:
+        coded = b"\n" if w is None else w + b" "
+        for i in range(len(coded)):
+            yield (stream + coded[:i])[-4:], coded[:i], coded[i]
+        stream += coded
+
+
+def plain_slots(before, so_far, byte):
+    """(node, bit, slots) of a byte's decisions, one at a time in Python's integers."""
+
+    def step(h, b):
+        h = (h ^ (b + 1)) * 0x9E3779B1 % 2**32
+        return h ^ h >> 15
+
+    h, ctx = 0x51ED270B, []
+    for b in before[::-1]:
+        h = step(h, b)
+        ctx.append(h * 0x85EBCA77 % 2**32)
+    h = 0xA5A5A5A5
+    for b in so_far:
+        h = step(h, b)
+    ctx.append(h)
+    for at in range(lm.OFF[byte], lm.OFF[byte] + lm.LENGTH[byte]):
+        slots = []
+        for c in ctx:
+            x = (c ^ int(lm._NODE_MIX[lm.NODE[at]])) * 0xC2B2AE3D % 2**32
+            slots.append((x ^ x >> 14) % lm.SLOTS)
+        yield int(lm.NODE[at]), int(lm.BIT[at]), slots
+
+
+TEXTS = ["the cat of a the cat", "", None, "a é a é \u00e9\u00e9\u00e9\u00e9 b", "Of x\x00y\n\x00 \x00\x00\x00\x00\x00 the cat", "the cat of a the cat sat catalogue"]
+
+
+def test_every_decision_of_running_text_is_counted_across_words():
+    rows = [(0, t, i != 3) for i, t in enumerate(TEXTS)]
+    found = [r for b in lm._block_words([batch(rows)], True) for r in b.to_pylist() if r["word"][:1] != b" " and r["n"]]
+    table = pa.RecordBatch.from_pydict({"word": pa.array([r["word"] for r in found], pa.binary()), "c": pa.array([r["n"] for r in found], pa.int64())})
+    got = np.zeros(lm.K * lm.SLOTS * 2, np.int64)
+    for b in lm._count([table]):
+        for k, body in zip(b.column("chunk").to_pylist(), b.column("body").to_pylist(), strict=True):
+            got[k * 65536 : k * 65536 + len(body) // 8] = np.frombuffer(body, "<i8")
+    want = Counter()
+    for i, t in enumerate(TEXTS):
+        for place in running(t) if i != 3 else ():
+            for _, bit, slots in plain_slots(*place):
+                want.update(k * lm.SLOTS * 2 + s * 2 + bit for k, s in enumerate(slots))
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(want)
+
+
+def test_score_reads_the_words_before(monkeypatch):
+    monkeypatch.setattr(lm, "SHARES", (1.0,))  # the mixed bits alone
+    tables = np.random.default_rng(1).integers(0, 9, (lm.K, lm.SLOTS * 2)).astype(np.uint32)
+    model = (lm.frozen(tables), lm.left_out(tables), np.full((lm.GATES, lm.K), 0.3, np.float32), np.full(lm.APM_CTX * lm.APM_BINS, 0.5, np.float32))
+    words = list(dict.fromkeys(w for t in TEXTS for w in [*lm.words_of(t), b""]))
+    texts = [(t or "").encode() for t in TEXTS]
+    more = [b"the cat sat of a", b"of a the cat sat"]
+    tokens, _ = lm.tokens_of(texts + more)
+    vocabulary = lm.Vocabulary()
+    vocabulary.add(words)
+    phrases = np.unique(vocabulary.phrases(vocabulary.ids(tokens))[1][0])
+    block = lm._Block(words, np.full(len(words), 3), phrases, np.zeros(len(phrases)), "before", model, [(30, 5, 1, 1), (0, 0, 0, 0)], True)
+    got = block.score(texts, np.zeros(len(texts), bool))[3]
+    for t, bits in zip(TEXTS, got, strict=True):
+        want = 0.0
+        for place in running(t):
+            for _, bit, slots in plain_slots(*place):
+                n = [tables[k].reshape(-1, 2)[s].astype(np.float32) for k, s in enumerate(slots)]
+                x = float(np.clip(sum(0.3 * float(lm._odds(*(v[None] for v in p))[0]) for p in n), -12, 12))
+                p = 1 / (1 + math.exp(-x if bit else x))
+                want -= math.log2(0.5 * p + 0.25)
+        assert math.isclose(bits, want, rel_tol=1e-4)
+    one, other = block.score(more, np.zeros(2, bool))[3]
+    assert abs(one - other) > 1e-3  # the same words in another order
+
+
+def test_shares_are_weighed_over_the_text():
+    tokens, parts = np.array([3.0, 9.0]), np.array([5.0, 2.0])
+    got = lm.shared_bits(tokens, parts, 0.25)
+    assert np.allclose(got, -np.log2(0.75 * 2.0**-tokens + 0.25 * 2.0**-parts))
+    assert lm.shared_bits(tokens, parts, 0.0) is tokens and lm.shared_bits(tokens, parts, 1.0) is parts
+
+
+def test_remembered_heads_change_nothing(monkeypatch):
+    tables = np.random.default_rng(2).integers(0, 9, (lm.K, lm.SLOTS * 2)).astype(np.uint32)
+    model = (lm.frozen(tables), lm.left_out(tables), np.full((lm.GATES, lm.K), 0.3, np.float32), np.full(lm.APM_CTX * lm.APM_BINS, 0.5, np.float32))
+    words, size = lm.tokens_of([(t or "").encode() for t in TEXTS])
+    keys = lm.heads_of(words, size)
+    assert lm.numbered_heads(lm.named_heads(keys)).tolist() == keys.tolist()
+    own = np.arange(len(keys)) % 3
+    own[-1] = 1 << 20
+    want = [lm.part_bits(keys[i : i + 1], model, own[i : i + 1])[0] for i in range(len(keys))]
+    for kept in (1 << 19, 4):
+        monkeypatch.setattr(lm, "HEADS_KEPT", kept)
+        for _ in range(3):
+            assert np.allclose(lm.begun_bits(keys, own, f"kept {kept}", model), want, rtol=1e-9)
+            assert np.allclose(lm.begun_bits(keys[::-2], own[::-2], f"kept {kept}", model), want[::-2], rtol=1e-9)
