@@ -191,3 +191,40 @@ def test_remembered_heads_change_nothing(monkeypatch):
         for _ in range(3):
             assert np.allclose(lm.begun_bits(keys, own, f"kept {kept}", model), want, rtol=1e-9)
             assert np.allclose(lm.begun_bits(keys[::-2], own[::-2], f"kept {kept}", model), want[::-2], rtol=1e-9)
+
+
+def test_one_occurrence_is_left_out_by_lookup(monkeypatch):
+    rng = np.random.default_rng(3)
+    tables = rng.integers(0, 4, (lm.K, lm.SLOTS * 2)).astype(np.uint32)
+    left = lm.left_out(tables)
+    model = (lm.frozen(tables), left, np.full((lm.GATES, lm.K), 0.3, np.float32), rng.random(lm.APM_CTX * lm.APM_BINS).astype(np.float32))
+    words = [b"the", b"cataloguing", b"", b"\xc3\xa9\xc3\xa9\xc3\xa9\xc3\xa9", b"elephants"]
+    _, _, bit, slots = lm.decisions(words)
+    want = lm.evidence(left, slots, bit, np.ones(len(bit), np.int64))
+    bits = [[lm.part_bits([w], model, np.array([n]))[0] for w in words] for n in range(3)]
+    assert all(np.array_equal(lm.part_bits(words, model, np.full(5, n)), bits[n]) for n in range(3))
+    assert np.array_equal(lm.part_bits(words, model, np.array([0, 1, 2, 1, 0])), [bits[0][0], bits[1][1], bits[2][2], bits[1][3], bits[0][4]])
+    assert len({x[1] for x in bits}) == 3 and np.array_equal(lm.part_bits(words, model), bits[0])
+    monkeypatch.setattr(lm, "_odds", None)  # no logarithms for each decision
+    got = lm.evidence(left, slots, bit)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert np.array_equal(lm.part_bits(words, model, np.ones(5, np.int64)), bits[1])
+
+
+def test_tokens_and_heads_of_whole_texts_at_once():
+    texts = [(t or "").encode() for t in [*TEXTS, "\x0b\x0cA \x1c\x85\u00a0 b\r\n\tC", " ", "x", ""]]
+    words, size = lm.tokens_of(texts)
+    want = [[*lm.words_of(t), b""] for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws] and size.tolist() == list(map(len, want))
+    vocabulary = lm.Vocabulary()
+    ids = vocabulary.add(words.slice(3)).tolist()
+    plain = list(dict.fromkeys(words.to_pylist()[3:]))
+    assert list(vocabulary.at) == plain and ids == [plain.index(w) for w in words.to_pylist()[3:]]
+    assert vocabulary.ids(words.to_pylist()[3:]).tolist() == ids
+    heads = []
+    for ws in want:
+        before = lm.START
+        for w in ws:
+            heads.append(b"\t" + before[-lm.HEAD :] + (w + b" " if w else b"\n")[: lm.HEAD].ljust(lm.HEAD, b"\n"))
+            before += b" " + w
+    assert lm.named_heads(lm.heads_of(words, size)).to_pylist() == heads
